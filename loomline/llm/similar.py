@@ -27,7 +27,7 @@ from ..sources.tables import materialize
 from . import vamana
 
 SAMPLE, SHARD, CENTRES, MOST = 16_384, 2_000, 1_024, 20_000
-DEGREE, BEAM, PROBES = 12, 14, 2
+DEGREE, BEAM, PROBES = 12, 14, 4
 
 
 def items(products: DataFrame, batches: DataFrame, name: str = "body", size: int = 64) -> DataFrame:

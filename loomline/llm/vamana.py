@@ -65,6 +65,8 @@ class Graph:
 
     def add(self, target: np.ndarray, source: np.ndarray) -> None:
         """Add the edges target -> source; where there are too many, prune."""
+        new = ~(self.edges[target] == source[:, None]).any(1)
+        target, source = target[new], source[new]
         order = np.argsort(target, kind="stable")
         target, source = target[order], source[order]
         nodes, first, counts = np.unique(target, return_index=True, return_counts=True)

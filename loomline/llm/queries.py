@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, table
-from . import bpe, fusion, packing, reading, similar, sketches, splitting
+from . import bpe, fusion, near_dup, packing, reading, similar, sketches, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "product_documents"), table(spark, d, "embedding_profiles"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    text = near_dup.text_pairs(table(spark, d, "memory_store"), "memory_id", "text").select(F.lit("text").alias("field"), "key_a", "key_b")
+    project = near_dup.spelling_pairs(table(spark, d, "memory_recalls"), "project").select(F.lit("project").alias("field"), "key_a", "key_b")
+    return text.unionAll(project)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.groups(table(spark, d, "memory_store"), "memory_id", "text")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.agreed_first(table(spark, d, "hybrid_candidates"))
 
@@ -70,7 +80,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_percentiles, p3_found, p3_pieces, p5_found, p5_ranking, p7_ids, p8_pack, p9_found, p9_levels)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_percentiles, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p7_ids, p8_pack, p9_found, p9_levels)}
 
 
 def oracle_sql() -> dict[str, str]:

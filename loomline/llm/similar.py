@@ -85,7 +85,8 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = PROBES, degree: int =
     total = classes.count()
     if not total:
         return spark.createDataFrame([], "item bigint, neighbour bigint, similarity double")
-    sample = _matrix(reps.orderBy(F.xxhash64("item"), "item").limit(SAMPLE).toPandas()["vec"])
+    share = min(1 << 20, -(-(SAMPLE + SAMPLE // 4) * (1 << 20) // total))  # a little more than the sample, by the hash of the id
+    sample = _matrix(reps.filter(F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < share).orderBy(F.xxhash64("item"), "item").limit(SAMPLE).toPandas()["vec"])
     c = centres(sample, max(1, min(CENTRES, total // SHARD, len(sample))))
     send = spark.sparkContext.broadcast(c)  # at most CENTRES vectors
 

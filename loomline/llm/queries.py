@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize, table
-from . import bpe, fusion, near_dup, packing, reading, similar, sketches, splitting
+from . import bpe, fusion, near_dup, packing, pii, reading, similar, sketches, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,27 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fusion.ranking(table(spark, d, "hybrid_candidates"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """``key, text`` of memories and current documents; the key carries its table in front."""
+    memories = table(spark, d, "memory_store").filter("memory_id is not null and text is not null").select(F.concat(F.lit("memory_store/"), "memory_id").alias("key"), "text")
+    documents = table(spark, d, "product_documents").filter("object_id is not null")
+    newest = documents.groupBy("object_id").agg(F.max(F.coalesce("version", F.lit(-1))).alias("_newest"))
+    rows = documents.select("object_id", F.coalesce("version", F.lit(-1)).alias("_v"), "text").join(newest, "object_id").filter("_v = _newest and text is not null")
+    return memories.unionAll(rows.select(F.concat(F.lit("product_documents/"), F.col("object_id").cast("string")).alias("key"), "text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    found = pii.entities(texts, pii.model(texts, table(spark, d, "given_names")))
+    at = F.instr("key", "/")
+    return found.select(F.expr("substring_index(key, '/', 1)").alias("source_table"), F.col("key").substr(at + 1, F.length("key")).alias("item_key"), "pii_type", "pii_text")
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return pii.redacted(texts, pii.model(texts, table(spark, d, "given_names")))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -80,7 +101,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_percentiles, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p7_ids, p8_pack, p9_found, p9_levels)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_percentiles, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_redacted, p7_ids, p8_pack, p9_found, p9_levels)}
 
 
 def oracle_sql() -> dict[str, str]:

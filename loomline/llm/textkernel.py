@@ -47,9 +47,16 @@ def lower_table() -> np.ndarray:
     return table
 
 
-@lru_cache(1)
-def _powers() -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(LONG_WORD, _MULTIPLIER)]), dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64, for at least ``n`` places."""
+    if not _tables or len(_tables[0]) < n:
+        size = 1 << max(16, int(n - 1).bit_length())
+        _tables[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, m)]), dtype=np.uint64) for m in (_MULTIPLIER, _INVERSE)]
+    return _tables
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +101,14 @@ def runs(kinds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def hashes(cps: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word of at most LONG_WORD code points (longer ones by their first part)."""
+    """A 64-bit hash of every word: a polynomial of its code points, from prefix sums over all characters."""
     if len(starts) == 0:
         return np.empty(0, np.uint64)
-    used = np.minimum(lengths, LONG_WORD)
-    total = int(used.sum())
-    ends = np.cumsum(used)
-    within = np.arange(total, dtype=np.int64) - np.repeat(ends - used, used)
-    at = np.repeat(starts, used) + within
-    value = (cps[at].astype(np.uint64) + np.uint64(1)) * _powers()[within]
-    out = np.add.reduceat(value, ends - used)
-    return mix(out ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    up, down = _powers(len(cps) + 1)
+    sums = np.empty(len(cps) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(cps * up[: len(cps)], out=sums[1:])
+    return mix((sums[starts + lengths] - sums[starts]) * down[starts] ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

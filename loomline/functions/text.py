@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_TOKEN_BYTES = 256
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 # English stop words, version 1.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -21,19 +25,12 @@ def tokens(text: str | None) -> list[tuple[str, int]]:
 
     A term of more than 256 bytes is left out and its position stays empty. Null and empty texts have no token.
     """
-    out, position, run = [], 0, []
-    for c in (unicodedata.normalize("NFKC", text).casefold() if text else "") + " ":
-        if c.isalnum() or (run and unicodedata.category(c)[0] == "M"):
-            run.append(c)
-        elif run:
-            term = "".join(run)
-            if len(term.encode()) <= MAX_TOKEN_BYTES:
-                out.append((term, position))
-            position += 1
-            run = []
-    return out
+    normal = unicodedata.normalize("NFKC", text).casefold() if text else ""
+    words = (_ASCII_WORD if normal.isascii() else _WORD).findall(normal)
+    return [(w, i) for i, w in enumerate(words) if len(w) <= MAX_TOKEN_BYTES // 4 or len(w.encode()) <= MAX_TOKEN_BYTES]
 
 
+@lru_cache(1 << 16)
 def fold_ascii(term: str) -> str:
     """Latin letters without their marks; ligatures and Nordic letters spelled out."""
     spelled = term.translate({0xE6: "ae", 0x153: "oe", 0xF8: "o", 0xFE: "th", 0xF0: "d", 0xDF: "ss", 0x111: "d", 0x142: "l", 0x131: "i"})
@@ -69,6 +66,7 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
+@lru_cache(1 << 16)
 def stem(w: str) -> str:
     """The stem of a word of ASCII lower-case letters with more than two of them; others stay."""
     if len(w) <= 2 or not (w.isascii() and w.isalpha() and w.islower()):
@@ -166,6 +164,9 @@ def chunk_fixed(text: str, size: int, overlap: int = 0) -> list[tuple[int, int]]
         stop = min(len(data), start + size)
         while not bound(stop):
             stop -= 1
+        if out and stop <= out[-1][1]:
+            start = out[-1][1]  # the next character does not fit behind the overlap
+            continue
         out.append((start, stop))
         if stop == len(data):
             break
@@ -307,6 +308,28 @@ def analyzer(fold: bool = False, stop: bool = False, stemmed: bool = False):
     return run
 
 
+def term_finder(terms: list[str], **filters: bool):
+    """An Arrow UDF: text -> struct<len, found: array<struct<term, pos>>> with the given terms only."""
+    wanted = frozenset(terms)
+
+    @F.pandas_udf(T.StructType([T.StructField("len", T.IntegerType()), T.StructField("found", TOKEN_LIST)]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        every = [analyze(t, **filters) for t in texts]
+        return pd.DataFrame({"len": [len(e) for e in every], "found": [[{"term": a, "pos": p} for a, p in e if a in wanted] for e in every]})
+
+    return run
+
+
+def terms_of(**filters: bool):
+    """An Arrow UDF: text -> its distinct terms."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted({a for a, _ in analyze(t, **filters)}))
+
+    return run
+
+
 def spread(function, schema: T.DataType):
     """An Arrow UDF of a function of one text."""
 

@@ -108,7 +108,7 @@ def srandmember(df: DataFrame, key: str, member: str, seed: int, count: int) ->
     """Members from a seeded rank on, in byte order, wrapping once; ``count`` 1 is the member that SPOP takes."""
     w = Window.partitionBy(key)
     rows = df.select(key, member).distinct().withColumn("_r", F.row_number().over(w.orderBy(member)) - 1).withColumn("_n", F.count("*").over(w))
-    start = F.lit(splitmix64(seed)).cast("decimal(20,0)") % F.col("_n")
+    start = F.lit(str(splitmix64(seed))).cast("decimal(20,0)") % F.col("_n")
     at = F.pmod(F.col("_r") - start.cast("bigint"), F.col("_n"))
     return rows.filter(at < count).select(key, member, at.cast("int").alias("pos"))
 
@@ -165,8 +165,8 @@ class Key:
             return False, "wrongtype"
         before = self.family
         changed, result = getattr(self, "_" + family)(op, arg, value)
-        if changed and before is None:
-            self.family = family
+        if before is None and op not in ("set", "setnx", "setxx"):
+            self.family, self.value = (family, self.value) if changed else (None, None)
         return changed, result
 
     def _s(self, op, arg, value):

@@ -16,6 +16,14 @@ from ..functions import text as X
 EXPANDED = 64
 
 
+def _is(term: str):
+    return lambda x: x["term"] == term
+
+
+def _from(place: int):
+    return lambda x: x["pos"] - place
+
+
 def postings(docs: DataFrame, key: str, text: str, **filters: bool) -> DataFrame:
     """``doc, term, tf, positions, len``: one row per document and term. No shuffle: the terms of a document are grouped in the row."""
     spread = docs.select(F.col(key).alias("doc"), X.analyzer(**filters)(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
@@ -26,10 +34,8 @@ def postings(docs: DataFrame, key: str, text: str, **filters: bool) -> DataFrame
 
 def query_postings(docs: DataFrame, key: str, text: str, terms: list[str], **filters: bool) -> DataFrame:
     """Postings of the given terms only: documents are counted, other terms never become rows."""
-    spread = docs.select(F.col(key).alias("doc"), X.analyzer(**filters)(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    rows = spread.select("doc", "len", F.filter("_t", lambda x: F.array_contains(wanted, x["term"])).alias("_t"))
-    return rows
+    found = docs.select(F.col(key).alias("doc"), X.term_finder(terms, **filters)(F.col(text)).alias("_f"))
+    return found.select("doc", F.col("_f.len").alias("len"), F.col("_f.found").alias("_t"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75, minimum: int = 1, distinct: bool = True, **filters: bool) -> DataFrame:
@@ -47,7 +53,7 @@ def score_terms(docs: DataFrame, key: str, text: str, weights: dict[str, int], k
     if not terms:
         return docs.select(F.col(key).alias("doc"), F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
     rows = query_postings(docs, key, text, terms, **filters)
-    tf = [F.size(F.filter("_t", lambda x, t=t: x["term"] == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    tf = [F.size(F.filter("_t", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     wide = rows.select("doc", "len", *tf)
     # one pass of counts: a single row of as many columns as the query has terms
     stats = wide.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))])
@@ -67,9 +73,9 @@ def bm25f(docs: DataFrame, key: str, fields: dict[str, int], query: str, k1: flo
     terms = sorted({t for t, _ in X.analyze(query, **filters)})
     columns = []
     for f in fields:
-        columns.append(X.analyzer(**filters)(F.col(f)).alias(f"_{f}"))
+        columns.append(X.term_finder(terms, **filters)(F.col(f)).alias(f"_{f}"))
     rows = docs.select(F.col(key).alias("doc"), *columns)
-    flat = rows.select("doc", *[F.size(f"_{f}").alias(f"len_{f}") for f in fields], *[F.size(F.filter(f"_{f}", lambda x, t=t: x["term"] == t)).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
+    flat = rows.select("doc", *[F.col(f"_{f}.len").alias(f"len_{f}") for f in fields], *[F.size(F.filter(f"_{f}.found", _is(t))).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
     anywhere = [reduce(lambda x, y: x | y, [F.col(f"tf_{f}_{i}") > 0 for f in fields]) for i in range(len(terms))]
     stats = flat.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.sum(a.cast("bigint")).alias(f"df{i}") for i, a in enumerate(anywhere)])
     wide = flat.filter(reduce(lambda x, y: x | y, anywhere)).crossJoin(F.broadcast(stats))
@@ -84,7 +90,7 @@ def bm25f(docs: DataFrame, key: str, fields: dict[str, int], query: str, k1: flo
 
 
 def vocabulary(docs: DataFrame, text: str, **filters: bool) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(X.analyzer(**filters)(F.col(text)).getField("term"))).alias("term")).distinct()
+    return docs.select(F.explode(X.terms_of(**filters)(F.col(text))).alias("term")).distinct()
 
 
 def expand(found: DataFrame) -> list[str]:
@@ -113,7 +119,7 @@ def phrase(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """``doc``: documents with the query's terms at consecutive positions."""
     terms = [t for t, _ in X.analyze(query)]
     rows = query_postings(docs, key, text, sorted(set(terms)))
-    at = [F.transform(F.filter("_t", lambda x, t=t: x["term"] == t), lambda x, i=i: x["pos"] - i) for i, t in enumerate(terms)]
+    at = [F.transform(F.filter("_t", _is(t)), _from(i)) for i, t in enumerate(terms)]
     return rows.filter(F.size(reduce(F.array_intersect, at)) > 0).select("doc")
 
 
@@ -146,7 +152,7 @@ def compound(docs: DataFrame, key: str, text: str, query: dict, vocab: DataFrame
         elif kind == "fuzzy":
             match = F.exists("_t", lambda x: F.levenshtein(x["term"], F.lit(X.analyze(v["term"])[0][0]), v.get("distance", 1)) >= 0)
         else:
-            at = [F.transform(F.filter("_t", lambda x, t=t: x["term"] == t), lambda x, i=i: x["pos"] - i) for i, (t, _) in enumerate(X.analyze(v))]
+            at = [F.transform(F.filter("_t", _is(t)), _from(i)) for i, (t, _) in enumerate(X.analyze(v))]
             match = F.size(reduce(F.array_intersect, at)) > 0
         return match, match.cast("int")
 

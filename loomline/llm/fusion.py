@@ -27,7 +27,7 @@ SMALLER_IS_BETTER = ("squared_l2", "negative_dot")
 def present(score: Column) -> Column:
     """The score, or null where it is NaN; infinities become the largest finite values."""
     top = 1.7e308
-    return F.when(~F.isnan(score), F.greatest(F.least(score, F.lit(top)), F.lit(-top)))
+    return F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.least(score, F.lit(top)), F.lit(-top)))
 
 
 def combine(df: DataFrame, group: str, scores: dict[str, float], out: str = "combined") -> DataFrame:

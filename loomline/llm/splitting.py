@@ -96,12 +96,15 @@ def pack(node: Node, limit: int, overlap: int, target: int) -> list[tuple[int, i
     out: list[tuple[int, int]] = []
     first = node.start
 
+    whole = 0  # tokens of the last piece, with its overlap
+
     def room() -> int:
-        return limit if not out else limit - min(overlap, out[-1][1] - out[-1][0] + (min(overlap, out[-2][1] - out[-2][0]) if len(out) > 1 else 0))
+        return limit - min(overlap, whole)
 
     def close(stop: int) -> None:
-        nonlocal first
+        nonlocal first, whole
         if stop > first:
+            whole = stop - first + min(overlap, whole)
             out.append((first, stop))
             first = stop
 

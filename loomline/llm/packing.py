@@ -130,7 +130,7 @@ def pieces(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """``key, piece, start, n, container``: every item, laid into containers of ``capacity``.
 
-    ``items`` is read twice; give a stored table. The driver gets the histogram only, at most ``capacity`` rows.
+    ``items`` is read twice; give a stored table. The driver gets the histogram only, at most ``capacity`` times SALTS rows.
     """
     spark = items.sparkSession
     cut = pieces(items, key, size, capacity)

@@ -1,12 +1,13 @@
 """Full-text search: postings, BM25 and BM25F, expansion, phrases and compound queries.
 
 Postings are an ordinary table ``doc, term, tf, positions, len``; one explode and one aggregate over the corpus make them, and
-queries read only the terms they need, which are joined as a small broadcast table (a query has few terms).
+queries keep only the terms they need of each document, so that scoring needs no shuffle.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,14 +56,14 @@ def score_terms(docs: DataFrame, key: str, text: str, weights: dict[str, int], k
     rows = query_postings(docs, key, text, terms, **filters)
     tf = [F.size(F.filter("_t", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     wide = rows.select("doc", "len", *tf)
-    # one pass of counts: a single row of as many columns as the query has terms
-    stats = wide.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))])
-    joined = wide.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))
+    # one pass of counts reaches the driver: a single row of as many columns as the query has terms
+    stats = wide.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))]).first()
+    joined = wide.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
     score, matched = F.lit(0.0), F.lit(0)
     for i, t in enumerate(terms):
-        df, f = F.col(f"df{i}"), F.col(f"tf{i}").cast("double")
-        idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
-        part = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+        df, f = stats[f"df{i}"] or 0, F.col(f"tf{i}").cast("double")
+        idf = log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
+        part = F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg"] or 1.0)))
         score = score + F.when(f > 0, part * weights[t]).otherwise(0.0)
         matched = matched + (f > 0).cast("int")
     return joined.select("doc", score.alias("score"), matched.alias("matched")).filter(F.col("matched") >= minimum)
@@ -77,15 +78,16 @@ def bm25f(docs: DataFrame, key: str, fields: dict[str, int], query: str, k1: flo
     rows = docs.select(F.col(key).alias("doc"), *columns)
     flat = rows.select("doc", *[F.col(f"_{f}.len").alias(f"len_{f}") for f in fields], *[F.size(F.filter(f"_{f}.found", _is(t))).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
     anywhere = [reduce(lambda x, y: x | y, [F.col(f"tf_{f}_{i}") > 0 for f in fields]) for i in range(len(terms))]
-    stats = flat.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.sum(a.cast("bigint")).alias(f"df{i}") for i, a in enumerate(anywhere)])
-    wide = flat.filter(reduce(lambda x, y: x | y, anywhere)).crossJoin(F.broadcast(stats))
+    stats = flat.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.sum(a.cast("bigint")).alias(f"df{i}") for i, a in enumerate(anywhere)]).first()
+    wide = flat.filter(reduce(lambda x, y: x | y, anywhere))
     total: Column = F.lit(0).cast("bigint")
     for i in range(len(terms)):
         tf = F.lit(0.0)
         for f, w in fields.items():
-            tf = tf + F.when(F.col(f"tf_{f}_{i}") > 0, w / 1e6 * F.col(f"tf_{f}_{i}") / (1 - b + b * F.col(f"len_{f}") / F.col(f"avg_{f}"))).otherwise(0.0)
-        idf = F.log(F.lit(1.0) + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        total = total + F.round(idf * tf * (k1 + 1) / (tf + k1) * 1e9).cast("bigint")
+            tf = tf + F.when(F.col(f"tf_{f}_{i}") > 0, w / 1e6 * F.col(f"tf_{f}_{i}") / (1 - b + b * F.col(f"len_{f}") / F.lit(stats[f"avg_{f}"] or 1.0))).otherwise(0.0)
+        df = stats[f"df{i}"] or 0
+        idf = log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
+        total = total + F.round(F.lit(idf) * tf * (k1 + 1) / (tf + k1) * 1e9).cast("bigint")
     return wide.select("doc", total.alias("score_nanos"))
 
 

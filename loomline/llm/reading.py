@@ -31,43 +31,57 @@ SAMPLE = 900
 LEVELS = 5
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 13
 
-_MARK = re.compile(r"\s*(?:\[\d{1,4}\]|\d{1,4}[.)]|§+ ?\d{1,4}|\(\d{1,4}\)|\d{1,4}(?=\s))\s+(?=\S)")
+_MARK = re.compile(r"\s*(?:\[\s?\d{1,4}\s?\]|\d{1,4}[.)]|§+\s?\d{1,4}|\(\d{1,4}\))\s+(?=\S)")
 # The formulas that open an order, and the words that open a headnote.
 _ORDER = re.compile(r"\s*(?:for these reasons|par ces motifs|aus diesen gründen|por estos motivos)", re.I)
 _HEADNOTE = re.compile(r"\s*(?:headnote|leitsatz|leitsätze|sommaire|sumario|resumen|chapeau)\b\s*:?", re.I)
 _PAGE = re.compile(r"\s*(?:[-–—] ?\d+ ?[-–—]|.{0,80}\b(?:page|seite|página|pág\.?)\s+\d+.{0,20}|\d+ ?/ ?\d+)\s*$", re.I)
 _ASIDE = re.compile(r"\(\s*(?:cf|vgl|see|compare|siehe|voir|véase|comp)\b[^()]*\)", re.I)
+_END = re.compile(r"(?<=[.!?])\s+")
 _TAG = re.compile(r"<[^<>]{1,80}>|&[a-z]{2,8};")
 # Words that introduce a citation; a sentence with one of them and a digit is not judged.
 CITING = ("see", "compare", "cf", "vgl", "siehe", "vergleiche", "voir", "comparer", "véase", "compárese")
 
 
 def paragraphs(text: str | None) -> list[str]:
-    """The numbered paragraphs, without headnotes, headers, page lines, orders and bracketed citations."""
+    """The numbered paragraphs, without headnotes, headers, page lines, orders, bracketed citations and sentences quoted from the headnote."""
     if text is None or not text.strip():
         return []
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
     own: list[list[str]] = []
-    inside = False
+    inside, noting, note = False, False, []
     for line in lines:
+        if noting and not line.strip():
+            noting = False
         if not line or line.isspace() or (len(line) < 130 and any(map(str.isdigit, line[-22:])) and _PAGE.match(line)):
             continue
         if mark := _MARK.match(line):
-            inside = True
+            inside, noting = True, False
             own.append([line[mark.end() :]])
-        elif _ORDER.match(line) or _HEADNOTE.match(line):
-            inside = False
+        elif _ORDER.match(line):
+            inside = noting = False
+        elif head := _HEADNOTE.match(line):
+            inside, noting = False, True
+            note.append(line[head.end() :])
+        elif noting:
+            note.append(line)
         elif inside:
             own[-1].append(line)
     if not own:
         own = [lines]
+    quoted = [q for q in _END.split(" ".join(" ".join(note).split())) if len(q) > 40]
     out: list[str] = []
     for parts in own:
         body = " ".join(parts) if len(parts) > 1 else parts[0]
         if "<" in body or "&" in body:
             body = _TAG.sub(" ", body)
+        if quoted:
+            flat = " ".join(body.split())
+            for q in quoted:
+                flat = flat.replace(q, " ")
+            body = flat
         out.append(_ASIDE.sub(" ", body) if "(" in body else body)
     return out
 

@@ -298,6 +298,8 @@ def test_pack(spark):
 def test_paragraphs():
     text = "Court\r\nNo. 1\r\n\r\nHEADNOTE: hard words here.\r\n\r\n[1] The dog ran\r\nhome. (cf. 3 A 4/20, § 2) It slept.\r\n\r\nCourt — Page 2 of 9\r\n\r\n[2] <br/>He left.\r\n\r\nFOR THESE REASONS, dismissed."
     assert [re.sub(r"\s+", " ", p).strip() for p in reading.paragraphs(text)] == ["The dog ran home. It slept.", "He left."]
+    quoted = "09 June 2024\nHEADNOTE: The aforementioned clause restricts the requirement entirely.\n§\xa01\xa0The dog ran. The aforementioned clause restricts\nthe requirement entirely."
+    assert [p.split() for p in reading.paragraphs(quoted)] == [["The", "dog", "ran."]]
     assert reading.paragraphs(None) == reading.paragraphs(" \n") == []
 
 

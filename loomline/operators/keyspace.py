@@ -69,6 +69,23 @@ def scan(df: DataFrame, order: list[str], after: list | None, limit: int, revers
     return page(df, order, after, limit, reverse)
 
 
+def scan_match(df: DataFrame, order: list[str], member: str, pattern: bytes, after: list | None, output: int, visits: int) -> DataFrame:
+    """Members that match a glob, of at most ``visits`` visited after the cursor; ``last`` marks the last visited one.
+
+    The continuation is the row marked ``last`` (matching or not), and there is none once all are visited.
+    """
+    from ..functions.text import glob_regex
+
+    seen = scan(df, order, after, visits + 1)
+    n = F.row_number().over(Window.orderBy(*order))
+    rows = seen.withColumn("_n", n)
+    more = F.count("*").over(Window.partitionBy(F.lit(1))) > visits
+    found = F.col(member).rlike("(?s)^" + glob_regex(pattern).pattern.decode("latin-1").replace("\\Z", "$"))
+    marked = rows.withColumn("last", more & (F.col("_n") == visits)).filter(F.col("_n") <= visits).withColumn("match", found)
+    kept = marked.withColumn("_m", F.sum(F.col("match").cast("int")).over(Window.orderBy("_n")))
+    return kept.filter((F.col("match") & (F.col("_m") <= output)) | F.col("last")).drop("_n", "_m")
+
+
 def ranked(df: DataFrame, key: str, score: str, member: str, reverse: bool = False) -> DataFrame:
     """``rank``, from 0, by score then member."""
     order = [F.desc(score), F.desc(member)] if reverse else [F.col(score), F.col(member)]

@@ -20,6 +20,41 @@ def vector_topk(df: DataFrame, key: str, column: str, query: list[float], k: int
     return top if cutoff is None else top.filter(F.col("distance") <= cutoff)
 
 
+def routed_topk(df: DataFrame, key: str, column: str, query: list[float], k: int, centres: list[list[float]]) -> DataFrame:
+    """``doc, distance`` (squared Euclidean) exactly as without partitions, reading only those that can hold a hit.
+
+    Vectors belong to their nearest centre. A partition's radius bounds from below how near its vectors can be; the
+    nearest partition gives the k-th distance, and every partition whose bound is not beyond it is searched.
+    """
+    arrays = [F.array(*[F.lit(float(x)) for x in c]) for c in centres]
+    each = F.array(*[V.squared_l2(F.col(column), a) for a in arrays])
+    rows = df.select(F.col(key).alias("doc"), F.col(column).alias("v"), each.alias("_d")).withColumn("part", F.array_position("_d", F.array_min("_d")) - 1)
+    radius = {r["part"]: r["r"] for r in rows.groupBy("part").agg(F.sqrt(F.max(F.array_min("_d"))).alias("r")).collect()}
+    if not radius:
+        return df.select(F.col(key).alias("doc"), F.lit(0.0).alias("distance")).limit(0)
+    bound = {p: max(0.0, sum((a - b) ** 2 for a, b in zip(query, centres[p])) ** 0.5 - r) for p, r in radius.items()}
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = rows.withColumn("distance", V.squared_l2(F.col("v"), q))
+    near = min(bound, key=lambda p: (bound[p], p))
+    first = scored.filter(F.col("part") == near).orderBy("distance", "doc").limit(k).agg(F.count("*").alias("n"), F.max("distance").alias("far")).first()
+    wanted = [p for p, b in bound.items() if first["n"] < k or b * b <= first["far"] * (1 + 1e-9)]
+    return scored.filter(F.col("part").isin(wanted)).select("doc", "distance").orderBy("distance", "doc").limit(k)
+
+
+def statistics(docs: DataFrame, key: str, eligible: DataFrame, matched: DataFrame) -> DataFrame:
+    """``total, eligible, matched``: counts of a search, in one row."""
+    parts = docs.select(F.lit(1).alias("t"), F.lit(0).alias("e"), F.lit(0).alias("m")).unionAll(eligible.select(F.lit(0), F.lit(1), F.lit(0))).unionAll(matched.select(F.lit(0), F.lit(0), F.lit(1)))
+    return parts.agg(F.sum("t").alias("total"), F.sum("e").alias("eligible"), F.sum("m").alias("matched"))
+
+
+def enrich(docs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Embeddings set where the text's digest is still the one they were made from; others stay as they are."""
+    new = vectors.select(key, F.col("digest").alias("_d"), F.col("vector").alias("_v"))
+    joined = docs.join(new, key, "left")
+    same = F.col("_d") == F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return joined.withColumn("vector", F.when(same, F.col("_v")).otherwise(F.col("vector"))).withColumn("enriched", F.coalesce(same, F.lit(False))).drop("_d", "_v")
+
+
 def abstain(ranked: DataFrame, score: str, minimum: float, margin: float) -> DataFrame:
     """``outcome, doc, score``: the best hit, or why there is none (no_candidates, below_threshold, ambiguous)."""
     two = ranked.orderBy(F.desc(score), "doc").limit(2).agg(F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), (-F.col("doc")).alias("d"))), asc=False).alias("t"))

@@ -106,6 +106,11 @@ def agg_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"), F.max("l_shipdate").cast("date").alias("last"))
 
 
+@query("SELECT l_linestatus, ROUND(AVG(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
+def agg_avg_decimal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(F.avg(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double"), 4).alias("mean"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1234 ORDER BY o_orderkey LIMIT 100")
 def cursor_page(spark: SparkSession, d: str) -> DataFrame:
     return R.page(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], [1234], 100)
@@ -298,6 +303,11 @@ def ks_glob(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").filter(F.col("c_name").rlike("^" + X.glob_regex(b"C*[1-4]?").pattern.decode().replace("\\Z", "$"))).select("c_custkey")
 
 
+@query("WITH v AS (SELECT c_name, row_number() OVER (ORDER BY c_name) AS n FROM customer WHERE c_name > 'Customer#000000100') SELECT c_name, regexp_matches(c_name, '^.*[1-3]5$') AS match, n = 300 AS last FROM v WHERE n <= 300 AND (regexp_matches(c_name, '^.*[1-3]5$') OR (n = 300 AND (SELECT COUNT(*) FROM v) > 300))")
+def ks_scan_match(spark: SparkSession, d: str) -> DataFrame:
+    return K.scan_match(table(spark, d, "customer").select("c_name"), ["c_name"], "c_name", b"*[1-3]5", ["Customer#000000100"], 1000, 300)
+
+
 # vectors
 @query(f"SELECT vec_id AS doc, ROUND(1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE_SQL}), 9) AS distance FROM embeddings ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], {_PROBE_SQL}), vec_id LIMIT 10")
 def vec_exact_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -345,6 +355,13 @@ def vec_truncated(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(V.normalized(F.col("embedding"), 32)[0], 9).alias("first"))
 
 
+@query(f"SELECT vec_id AS doc, ROUND(pow(list_distance(embedding::DOUBLE[], {_PROBE_SQL}), 2), 9) AS distance FROM embeddings ORDER BY pow(list_distance(embedding::DOUBLE[], {_PROBE_SQL}), 2), vec_id LIMIT 10")
+def vec_routed(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    centres = [list(r["embedding"]) for r in e.orderBy("vec_id").limit(12).collect()]
+    return S.routed_topk(e, "vec_id", "embedding", PROBE, 10, centres).withColumn("distance", F.round("distance", 9))
+
+
 # lexical search. The oracle tokenises with a plain pattern, so what it scores are ASCII texts: the distinct recall requests.
 _SCORED = r"""WITH docs AS (SELECT recall_id AS doc, regexp_extract_all(lower(query), '[a-z0-9]+') AS t FROM (SELECT DISTINCT recall_id, query FROM memory_recalls) WHERE query IS NOT NULL),
 s AS (SELECT COUNT(*) AS n, AVG(len(t)) AS a FROM docs), words AS (SELECT doc, len(t) AS l, unnest(t) AS term FROM docs),
@@ -439,6 +456,19 @@ def lex_stop_stem(spark: SparkSession, d: str) -> DataFrame:
     return got.orderBy(F.desc("score"), "doc").limit(10)
 
 
+@query(_SCORED.format(where="term IN ('vector', 'graph', 'the')").replace("f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))", "f * 1.8 / (f + 0.8 * (0.6 + 0.4 * l / a)) * CASE term WHEN 'graph' THEN 2 ELSE 1 END"))
+def lex_flat_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Terms given twice count twice."""
+    return L.bm25(_requests(spark, d), "recall_id", "query", "vector graph the graph", k1=0.8, b=0.4, distinct=False).select("doc", F.round("score", 9).alias("score"))
+
+
+@query("WITH d AS (SELECT DISTINCT recall_id, query, mode FROM memory_recalls) SELECT COUNT(*) AS total, COUNT(*) FILTER (mode = 'lexical') AS eligible, COUNT(*) FILTER (mode = 'lexical' AND list_contains(regexp_extract_all(lower(query), '[a-z0-9]+'), 'graph')) AS matched FROM d")
+def search_statistics(spark: SparkSession, d: str) -> DataFrame:
+    every = table(spark, d, "memory_recalls").select("recall_id", "query", "mode").dropDuplicates(["recall_id"])
+    eligible = every.filter("mode = 'lexical'")
+    return S.statistics(every, "recall_id", eligible, L.bm25(eligible.filter("query is not null"), "recall_id", "query", "graph"))
+
+
 # fusion and what follows it
 def _lexical_rank(spark: SparkSession, d: str) -> DataFrame:
     return S.with_rank(table(spark, d, "events").filter("event_type <> 'view'").select(F.col("event_id").alias("doc"), F.col("value").alias("score"), "user_id"), [F.desc("score"), F.col("doc")], 200)
@@ -488,6 +518,13 @@ def autocut(spark: SparkSession, d: str) -> DataFrame:
     return S.autocut(_lexical_rank(spark, d), 3).select("doc", "rank")
 
 
+@query(_BRANCHES + ", s AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1) SELECT doc, r AS rank FROM l JOIN s USING (user_id) WHERE event_type = 'purchase'")
+def search_kv_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Hits whose key holds a given scalar in the keyspace."""
+    state = K.last_write(table(spark, d, "events"), ["user_id"], "event_id", ["event_type"]).filter("event_type = 'purchase'")
+    return _lexical_rank(spark, d).join(state, "user_id", "left_semi").select("doc", "rank")
+
+
 @query(_BRANCHES + " SELECT doc, r AS rank FROM l WHERE r > 20 AND r <= 45")
 def search_window(spark: SparkSession, d: str) -> DataFrame:
     return S.window(_lexical_rank(spark, d), 20, 25).select("doc", "rank")

@@ -20,14 +20,17 @@ STOP_WORDS = (
 ).split()
 
 
+def _words(text: str | None) -> list[str]:
+    normal = unicodedata.normalize("NFKC", text).casefold() if text else ""
+    return (_ASCII_WORD if normal.isascii() else _WORD).findall(normal)
+
+
 def tokens(text: str | None) -> list[tuple[str, int]]:
     """``(term, position)``: NFKC, full case folding, runs of alphanumerics.
 
     A term of more than 256 bytes is left out and its position stays empty. Null and empty texts have no token.
     """
-    normal = unicodedata.normalize("NFKC", text).casefold() if text else ""
-    words = (_ASCII_WORD if normal.isascii() else _WORD).findall(normal)
-    return [(w, i) for i, w in enumerate(words) if len(w) <= MAX_TOKEN_BYTES // 4 or len(w.encode()) <= MAX_TOKEN_BYTES]
+    return [(w, i) for i, w in enumerate(_words(text)) if len(w) <= MAX_TOKEN_BYTES // 4 or len(w.encode()) <= MAX_TOKEN_BYTES]
 
 
 @lru_cache(1 << 16)
@@ -314,8 +317,17 @@ def term_finder(terms: list[str], **filters: bool):
 
     @F.pandas_udf(T.StructType([T.StructField("len", T.IntegerType()), T.StructField("found", TOKEN_LIST)]))
     def run(texts: pd.Series) -> pd.DataFrame:
-        every = [analyze(t, **filters) for t in texts]
-        return pd.DataFrame({"len": [len(e) for e in every], "found": [[{"term": a, "pos": p} for a, p in e if a in wanted] for e in every]})
+        sizes, found = [], []
+        for t in texts:
+            if any(filters.values()):
+                e = analyze(t, **filters)
+                sizes.append(len(e))
+                found.append([{"term": a, "pos": p} for a, p in e if a in wanted])
+            else:  # nothing is made of the other words but their number
+                words = _words(t)
+                sizes.append(len(words) - sum(len(w) > MAX_TOKEN_BYTES // 4 and len(w.encode()) > MAX_TOKEN_BYTES for w in words))
+                found.append([{"term": w, "pos": i} for i, w in enumerate(words) if w in wanted])
+        return pd.DataFrame({"len": sizes, "found": found})
 
     return run
 

@@ -2,15 +2,15 @@
 
 Method: SuperMinHash. Every element (a three-word sequence) draws one permutation of the signature's places and
 one fraction per step; the signature keeps the least step plus fraction at each place, and a document stops as
-soon as no later step can lower any place. Two signatures are made in one pass over the texts: a short one over
-the sequences that are not frequent in the corpus, cut into BANDS bands of ROWS places, which proposes pairs,
-and a long one over all sequences, kept as one bit per place, which estimates the similarity of a proposed pair
-inside the band join. Neighbours of neighbours are proposed too. What is left is verified on the sets themselves,
-and union-find groups the verified links.
+soon as no later step can lower any place. Two signatures over all sequences are made in one pass over the texts: a
+short one, cut into BANDS bands of ROWS places, which proposes pairs, and a long one, kept as one bit per place, which
+estimates the similarity of a proposed pair inside its band; in bands of more than HOT rows four bits per place do, as
+one bit lets too many pairs of texts pass that share no more than boilerplate. Neighbours of neighbours are proposed too. What is left
+is verified on the sets themselves, and union-find groups the verified links.
 
 Records with equal sets are one class and are proposed once; they are only listed one by one at the end.
-The frequent sequences come from counts over all texts: one that is in more than 1.25 FREQUENT of them is
-always left out of the banding, one in fewer than half of FREQUENT never is. They do count in the verification.
+No sequence and no band is left out for being frequent: all rows of a band are compared, and a band of more than BLOCK
+rows is split into blocks, every two of which meet in a task of their own.
 
 Defined cases: a text without a sequence (null, empty, shorter than three words) is in no pair and a group of its
 own; a re-delivered record counts once; an empty table gives an empty result. A key is looked at once, with the
@@ -35,7 +35,10 @@ from . import textkernel as K
 WORDS, SIMILARITY = 3, 0.5
 ROWS, BANDS, PLACES = 2, 16, 128
 AGREEING = 82  # of PLACES bits; at a similarity of 0.5 three quarters are expected to agree, 96
-FREQUENT = 0.003
+HOT = 64  # bands of more rows are compared by the wide sketch too
+NIBBLES = 52  # of PLACES; at a similarity of 0.5 68 are expected to agree, with a deviation of 5.6
+BLOCK = 16_384  # rows of a band that are compared in one task
+TILE, SHIFTED = 512, 64
 SLOTS = 1 << 22  # of the filter that keeps only texts in proposed pairs for the verification
 HUB = 64  # neighbours of neighbours are proposed across records of at most so many neighbours
 
@@ -114,6 +117,12 @@ def bits(signature: np.ndarray) -> np.ndarray:
     return np.packbits(one, axis=1).view(np.int64)
 
 
+def nibbles(signature: np.ndarray) -> np.ndarray:
+    """Four bits per place, as PLACES / 2 bytes."""
+    four = (K.mix(signature.view(np.uint64).ravel()).reshape(signature.shape) >> np.uint64(1)).astype(np.uint8) & np.uint8(15)
+    return np.ascontiguousarray(four[:, ::2] << np.uint8(4) | four[:, 1::2])
+
+
 def set_ids(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A 64-bit id per set, equal for equal sets; 0 for an empty one."""
     total = np.append(np.uint64(0), np.cumsum(K.mix(flat + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
@@ -123,46 +132,8 @@ def set_ids(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ids
 
 
-def frequent(texts: DataFrame, text: str) -> np.ndarray:
-    """Hashes of the sequences that are in about more than FREQUENT of all texts, in order.
-
-    A task passes on what is in more than a quarter of FREQUENT of its own texts: less than the number of
-    sequences of a text divided by that share, whatever the number of texts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, ids, sums, more = 0, np.empty(0, np.uint64), np.empty(0, np.int64), []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            every = np.sort(np.concatenate(more)) if more else np.empty(0, np.uint64)
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-            u, c = every[first], np.diff(np.append(first, len(every)))
-            both = np.concatenate([ids, u])
-            order = np.argsort(both, kind="stable")
-            both, counts = both[order], np.concatenate([sums, c])[order]
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.empty(0, np.int64)
-            return both[first], np.add.reduceat(counts, first) if len(first) else counts
-
-        for batch in batches:
-            for a, b in K.slices(batch.column(0)):
-                flat, counts = elements(batch.column(0).slice(a, b - a))
-                n += int((counts > 0).sum())
-                more.append(flat)
-                if sum(map(len, more)) > 3_000_000:
-                    ids, sums = merge()
-                    more = []
-        ids, sums = merge()
-        keep = sums > FREQUENT * n / 4
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids[keep].view(np.int64), -1)), pa.array(np.append(sums[keep], n))], ["id", "n"])
-
-    counted = {r["id"]: r["n"] for r in texts.select(text).mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("id").isNotNull()).collect()}
-    total = counted.pop(-1, 0)
-    return np.array(sorted(k for k, v in counted.items() if v > FREQUENT * total / 2), np.int64).view(np.uint64)
-
-
-def signed(records: DataFrame, key: str, text: str, common: np.ndarray) -> DataFrame:
-    """``key, class, s1, s2, bands`` of every row with a sequence; bands only at a class's first row in a task."""
-    send = records.sparkSession.sparkContext.broadcast(common)
+def signed(records: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, class, s1, s2, bands, wide`` of every row with a sequence; bands and sketches only at a class's first row in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -177,33 +148,135 @@ def signed(records: DataFrame, key: str, text: str, common: np.ndarray) -> DataF
                         met.add(c)
                         first[i] = True
                 flat, counts = flat[np.repeat(first, counts)], counts[first]
-                long = bits(superminhash(flat, counts, PLACES))
-                at = np.searchsorted(send.value, flat)
-                at[at == len(send.value)] = 0
-                rare = (send.value[at] != flat) if len(send.value) else np.ones(len(flat), bool)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                left = np.bincount(owner[rare], minlength=len(counts))
-                rare |= (left == 0)[owner]  # a text of frequent sequences only is banded by them
-                short = bands(superminhash(flat[rare], np.bincount(owner[rare], minlength=len(counts)), ROWS * BANDS))
+                long = superminhash(flat, counts, PLACES)
+                wide, long = nibbles(long), bits(long)
+                short = bands(superminhash(flat, counts, ROWS * BANDS))
                 rows = np.cumsum(first) - 1
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(first, BANDS, 0))).astype(np.int32)), pa.array(short.ravel()))
+                at = np.append(0, np.cumsum(np.where(first, PLACES // 2, 0))).astype(np.int32)
+                sketch = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(wide)])
                 s = np.zeros((len(ids), 2), np.int64)
                 s[first] = long[rows[first]]
-                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), lists], ["key", "class", "s1", "s2", "bands"])
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), lists, sketch], ["key", "class", "s1", "s2", "bands", "wide"])
                 yield out.filter(pa.array(ids != 0))
 
-    return records.select(key, text).mapInArrow(run, f"key {records.schema[key].dataType.simpleString()}, class bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return records.select(key, text).mapInArrow(run, f"key {records.schema[key].dataType.simpleString()}, class bigint, s1 bigint, s2 bigint, bands array<bigint>, wide binary")
 
 
 def _agree(a: str, b: str) -> Column:
     return F.lit(PLACES) - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2"))) >= AGREEING
 
 
+def large(signatures: DataFrame) -> DataFrame:
+    """``band, blocks`` of the bands of more than HOT rows. One that is missed is compared like any other, so no row depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            ids, n = np.unique(np.concatenate(more), return_counts=True)
+            keep = n > 8
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep])], ["band", "n"])
+
+        more: list[np.ndarray] = []
+        for batch in batches:
+            more.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False))
+            if sum(map(len, more)) > 4_000_000:
+                yield counted()
+                more = []
+        if more:
+            yield counted()
+
+    sums = signatures.select("bands").mapInArrow(run, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n"))
+    return sums.filter(F.col("n") > min(HOT, BLOCK)).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def alike(s: np.ndarray, wide: np.ndarray | None, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all ``left`` x ``right`` rows those whose sketches ``s``, and wide sketches, agree in enough places."""
+    x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(left), TILE):
+        a = left[i : i + TILE]
+        for j in range(0, len(right), TILE):
+            b = right[j : j + TILE]
+            other = np.bitwise_count(s[a, 0][:, None] ^ s[b, 0]) + np.bitwise_count(s[a, 1][:, None] ^ s[b, 1])
+            at = np.flatnonzero(other <= PLACES - AGREEING)
+            p, q = a[at // len(b)], b[at % len(b)]
+            if wide is not None:
+                other = wide[p] ^ wide[q]
+                other |= other >> np.uint64(2)
+                other |= other >> np.uint64(1)
+                other &= np.uint64(0x1111111111111111)
+                keep = np.bitwise_count(other).sum(1) <= PLACES - NIBBLES
+                p, q = p[keep], q[keep]
+            x.append(p)
+            y.append(q)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def meeting(group: np.ndarray, side: np.ndarray, ids: np.ndarray, s: np.ndarray, wide: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of different ids that agree, of each group of the sorted rows; sides 1 and 2 meet each other only."""
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(starts, len(group)))
+    small = np.repeat((sizes <= SHIFTED) & (wide is None), sizes)
+    for shift in range(1, int(sizes.max())):
+        if shift >= SHIFTED:
+            break
+        x = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
+        if not len(x):
+            break
+        y = x + shift
+        x, y = (p[np.bitwise_count(s[x] ^ s[y]).sum(1) <= PLACES - AGREEING] for p in (x, y))
+        yield x[ids[x] != ids[y]], y[ids[x] != ids[y]]
+    for a, n in zip(starts[~small[starts]].tolist(), sizes[~small[starts]].tolist()):
+        rows = np.arange(a, a + n)
+        across = side[a : a + n].any()
+        if across:
+            pairs = [(rows[side[rows] == 1], rows[side[rows] == 2])]
+        else:
+            pairs = [(rows[i : i + TILE], rows[i:]) for i in range(0, n, TILE)]
+        for left, right in pairs:
+            x, y = alike(s, wide, left, right)
+            keep = (ids[x] != ids[y]) & (across | (x < y))
+            yield x[keep], y[keep]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group to pairs; a group may go over several batches."""
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, s = rows[:, 2], np.ascontiguousarray(rows[:, 3:5]).view(np.uint64)
+        wide = np.ascontiguousarray(rows[:, 5:]).view(np.uint64) if rows.shape[1] > 5 else None
+        for x, y in meeting(rows[:, 0], rows[:, 1], ids, s, wide):
+            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+            for i in range(0, len(x), 100_000):
+                both = np.hstack([rows[x[i : i + 100_000], 2:5], rows[y[i : i + 100_000], 2:5]])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(both.T)], ["a", "a1", "a2", "b", "b1", "b2"])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])
+        if batch.num_columns > 5:
+            rows = np.hstack([rows, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(rows), PLACES // 16)])
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if held and held[0][0, 0] != rows[0, 0] or last:
+            yield from pairs(np.concatenate([*held, rows[:last]]))
+            held = []
+        held.append(rows[last:])
+    if held:
+        yield from pairs(np.concatenate(held))
+
+
 def proposed(signatures: DataFrame) -> DataFrame:
     """``a, b``: pairs of classes, a < b, that share a band, or a neighbour that does, and look similar enough."""
-    rows = signatures.filter(F.size("bands") > 0).select(F.explode("bands").alias("band"), "class", "s1", "s2")
-    met = rows.alias("x").join(rows.alias("y"), "band").filter("x.class < y.class").filter(_agree("x", "y"))
-    one = met.select(F.struct("x.class", "x.s1", "x.s2").alias("a"), F.struct("y.class", "y.s1", "y.s2").alias("b")).distinct()
+    rows = signatures.filter(F.size("bands") > 0).select(F.explode("bands").alias("band"), "class", "s1", "s2", "wide")
+    hot = F.broadcast(materialize(large(signatures)))
+    cold = rows.join(hot, "band", "left_anti").select(F.col("band").alias("g"), F.lit(0).cast("bigint").alias("side"), "class", "s1", "s2")
+    split = rows.join(hot, "band").withColumn("p", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).cast("bigint")
+    split = split.select(F.xxhash64("band", F.least("p", "q"), F.greatest("p", "q")).alias("g"), side.alias("side"), "class", "s1", "s2", "wide")
+    pairs = [r.repartition("g").sortWithinPartitions("g").mapInArrow(_meet, "a bigint, a1 bigint, a2 bigint, b bigint, b1 bigint, b2 bigint") for r in (cold, split)]
+    met = pairs[0].unionAll(pairs[1]).distinct()
+    one = met.select(*[F.struct(F.col(c).alias("class"), F.col(f"{c}1").alias("s1"), F.col(f"{c}2").alias("s2")).alias(c) for c in "ab"])
     one = materialize(one)
     both = one.select(F.col("a.class").alias("via"), F.col("b").alias("to")).unionAll(one.select(F.col("b.class"), F.col("a")))
     degree = both.groupBy("via").count().filter((F.col("count") > 1) & (F.col("count") <= HUB)).select("via")
@@ -254,7 +327,7 @@ def verified(pairs: DataFrame, records: DataFrame, text: str, similarity: float
 
 def links(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``key, class`` of every record with a sequence, and ``a, b, similarity`` of the similar classes."""
-    signatures = materialize(signed(records, key, text, frequent(records, text)))
+    signatures = materialize(signed(records, key, text))
     pairs = materialize(proposed(signatures))
     members = signatures.groupBy("key").agg(F.min("class").alias("class"))
     return members, verified(pairs, records, text)

@@ -171,6 +171,33 @@ def test_near_duplicates(spark):
     assert rows(near_dup.text_pairs(df.limit(0), "key", "text")) == []
 
 
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 50])
+def test_near_duplicates_of_a_large_group(spark, monkeypatch, block):
+    """A third of the texts are edited copies of one: what they share is frequent, and their bands are hot."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(900)]
+    base = [rnd.choice(words) for _ in range(60)]
+    texts = []
+    for i in range(2400):
+        t = list(base) if i % 3 == 0 else [rnd.choice(words) for _ in range(60)]
+        for _ in range(3):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        texts.append(" ".join(t))
+    data = [(f"m{i:04}", t) for i, t in enumerate(texts)]
+    copies = data[::3]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in copies)]
+    column = {e: i for i, e in enumerate(set().union(*sets))}
+    there = np.zeros((len(sets), len(column)), np.float32)
+    for i, x in enumerate(sets):
+        there[i, [column[e] for e in x]] = 1
+    shared, sizes = there @ there.T, there.sum(1)
+    same = np.triu(shared / (sizes[:, None] + sizes - shared) >= 0.5, 1)
+    want = {(copies[a][0], copies[b][0]) for a, b in np.argwhere(same).tolist()}
+    got = set(rows(near_dup.text_pairs(spark.createDataFrame(data, "key string, text string").repartition(4), "key", "text")))
+    assert len(want) > 100_000 and got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 200)]
     random.Random(1).shuffle(edges)

@@ -398,13 +398,18 @@ def lex_boolean_scores(spark: SparkSession, d: str) -> DataFrame:
     return L.compound(_requests(spark, d), "recall_id", "query", tree)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+
+
 def _english(spark: SparkSession, d: str) -> DataFrame:
+    """What the SQL of lex_and, lex_min_match and lex_phrase names; their _all forms search every text."""
     return table(spark, d, "documents").filter("text is not null and lang = 'en'").select("doc_id", "text")
 
 
 @query()
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    got = L.bm25(_english(spark, d), "doc_id", "text", "appellate tribunal burden of substantiation")
+    got = L.bm25(_texts(spark, d), "doc_id", "text", "appellate tribunal burden of substantiation")
     return got.orderBy(F.desc("score"), "doc").limit(10)
 
 
@@ -413,26 +418,41 @@ def lex_and(spark: SparkSession, d: str) -> DataFrame:
     return L.bm25(_english(spark, d), "doc_id", "text", "judge dog farmer", minimum=3).select("doc")
 
 
+@query()
+def lex_and_all(spark: SparkSession, d: str) -> DataFrame:
+    return L.bm25(_texts(spark, d), "doc_id", "text", "judge dog farmer", minimum=3).select("doc")
+
+
 @query(r"SELECT doc_id AS doc FROM documents WHERE lang = 'en' AND regexp_matches(lower(text), '(^|[^a-z0-9])judge($|[^a-z0-9])')::INT + regexp_matches(lower(text), '(^|[^a-z0-9])dog($|[^a-z0-9])')::INT + regexp_matches(lower(text), '(^|[^a-z0-9])farmer($|[^a-z0-9])')::INT >= 2")
 def lex_min_match(spark: SparkSession, d: str) -> DataFrame:
     return L.bm25(_english(spark, d), "doc_id", "text", "judge dog farmer", minimum=2).select("doc")
 
 
+@query()
+def lex_min_match_all(spark: SparkSession, d: str) -> DataFrame:
+    return L.bm25(_texts(spark, d), "doc_id", "text", "judge dog farmer", minimum=2).select("doc")
+
+
 @query(r"SELECT doc_id AS doc FROM documents WHERE lang = 'en' AND regexp_matches(lower(text), '(^|[^a-z0-9])two[^a-z0-9]+boxes($|[^a-z0-9])')")
 def lex_phrase(spark: SparkSession, d: str) -> DataFrame:
     return L.phrase(_english(spark, d), "doc_id", "text", "two boxes")
 
 
+@query()
+def lex_phrase_all(spark: SparkSession, d: str) -> DataFrame:
+    return L.phrase(_texts(spark, d), "doc_id", "text", "two boxes")
+
+
 @query()
 def lex_prefix(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d)
+    docs = _texts(spark, d)
     terms = L.prefix_terms(L.vocabulary(docs, "text"), "burden substan")
     return L.score_terms(docs, "doc_id", "text", dict.fromkeys(terms, 1)).orderBy(F.desc("score"), "doc").limit(20)
 
 
 @query()
 def lex_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d)
+    docs = _texts(spark, d)
     terms = L.fuzzy_terms(L.vocabulary(docs, "text"), "tribumal", 1)
     return L.score_terms(docs, "doc_id", "text", dict.fromkeys(terms, 1)).orderBy(F.desc("score"), "doc").limit(20)
 
@@ -440,7 +460,7 @@ def lex_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lex_boolean(spark: SparkSession, d: str) -> DataFrame:
     tree = {"boolean": {"must": [{"term": "judge"}], "should": [{"phrase": "two boxes"}, {"prefix": "farm"}], "must_not": [{"term": "bank"}]}}
-    return L.compound(_english(spark, d), "doc_id", "text", tree)
+    return L.compound(_texts(spark, d), "doc_id", "text", tree)
 
 
 @query()
@@ -452,7 +472,7 @@ def bm25f_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lex_stop_stem(spark: SparkSession, d: str) -> DataFrame:
-    got = L.bm25(_english(spark, d), "doc_id", "text", "the farmers selling boxes", k1=1.2, b=0.6, fold=True, stop=True, stemmed=True)
+    got = L.bm25(_texts(spark, d), "doc_id", "text", "the farmers selling boxes", k1=1.2, b=0.6, fold=True, stop=True, stemmed=True)
     return got.orderBy(F.desc("score"), "doc").limit(10)
 
 
@@ -537,8 +557,8 @@ def session_cover(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 over English documents and exact cosine over vectors, fused by rank. The two tables share ids by assumption only."""
-    lexical = S.with_rank(L.bm25(_english(spark, d), "doc_id", "text", "judge tribunal letter"), [F.desc("score"), F.col("doc")], 100)
+    """BM25 over all documents and exact cosine over vectors, fused by rank. The two tables share ids by assumption only."""
+    lexical = S.with_rank(L.bm25(_texts(spark, d), "doc_id", "text", "judge tribunal letter"), [F.desc("score"), F.col("doc")], 100)
     vector = S.with_rank(S.vector_topk(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE, 100), [F.col("distance"), F.col("doc")], 100)
     return S.rrf([(lexical, 1.0), (vector, 1.0)]).orderBy(F.desc("score"), "doc").limit(10)
 
@@ -599,7 +619,7 @@ def capture_extract(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def highlight(spark: SparkSession, d: str) -> DataFrame:
     cut = X.spread(lambda t: X.highlights(t, ["tribunal", "judge"]), T.ArrayType(T.StringType()))
-    return _english(spark, d).select("doc_id", cut("text").alias("fragments"))
+    return _texts(spark, d).select("doc_id", cut("text").alias("fragments"))
 
 
 # evaluation

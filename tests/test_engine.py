@@ -1,4 +1,6 @@
 import random
+import re
+from math import log
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from loomline.operators import keyspace as K
 from loomline.operators import lexical as L
 from loomline.operators import relational as R
 from loomline.operators import search as S
+from loomline.plans import queries as Q
 from loomline.plans.sql import Engine, SqlError
 from loomline.sources import exports
 from loomline.streaming import ingest
@@ -150,3 +153,31 @@ def test_export_reader(spark, tmp_path):
     p = tmp_path / "e.json"
     p.write_text('{"id": "1", "properties": {"body": "x"}, "vectors": {"default": [1.0, 2.0]}}\n{"properties": {}}\n{"id": "2"}\n')
     assert sorted((r[0], r[1], r[3]) for r in exports.object_export(spark, str(p), "body").collect()) == [("1", "x", [1.0, 2.0]), ("2", None, None)]
+
+
+FOUND = "The judge, a dog and the farmer selling two boxes: an appellate tribunal, its letter, the burden of substantiation."
+
+
+@pytest.fixture(scope="module")
+def languages(spark, tmp_path_factory):
+    """Documents that every text query finds, one per spelling of the language, one of another word, and one without a text."""
+    d = str(tmp_path_factory.mktemp("languages"))
+    docs = [(i, FOUND, lang) for i, lang in enumerate(["en", "EN", "en-x", None, "fr"])] + [(5, "autre chose", "fr"), (6, None, "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(99, [0.1] * 64)], "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "lex_and_all", "lex_min_match_all", "lex_phrase_all", "lex_prefix", "lex_fuzzy", "lex_boolean", "lex_stop_stem", "highlight", "hybrid_search"])
+def test_all_languages(spark, languages, name):
+    found = Q.queries()[name](spark, languages)
+    found = found.filter(F.size("fragments") > 0).select("doc_id") if name == "highlight" else found.select("doc")
+    assert {r[0] for r in found.collect()} - {99} == {0, 1, 2, 3, 4}
+
+
+def test_statistics_of_all_languages(spark, languages):
+    """Each of the 5 terms stands in 5 of 6 texts; counts and the mean length are those of all of them."""
+    scores = {r["doc"]: r["score"] for r in Q.bm25_topk(spark, languages).collect()}
+    length = len(re.findall("[A-Za-z]+", FOUND))
+    mean = (5 * length + 2) / 6
+    assert all(s == pytest.approx(5 * log(1 + 1.5 / 5.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))) for s in scores.values())

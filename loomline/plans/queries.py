@@ -98,6 +98,7 @@ dialect("agg_group_order", "SELECT event_type, COUNT(*) AS n, MIN(event_id) AS f
 dialect("distinct_first_seen", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders LIMIT 8", "SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY 1, 2 ORDER BY MIN(o_orderkey) LIMIT 8")
 dialect("win_row_number", "SELECT tenant, ROW_NUMBER() OVER (PARTITION BY tenant ORDER BY sequence_no) AS rn, sequence_no FROM ledger LIMIT 200", f"SELECT tenant, ROW_NUMBER() OVER (PARTITION BY tenant ORDER BY sequence_no) AS rn, sequence_no FROM {_LEDGER} ORDER BY tenant, sequence_no LIMIT 200")
 dialect("win_rank", "SELECT o_orderkey, RANK() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey < 500 LIMIT 50", "SELECT o_orderkey, RANK() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey < 500 ORDER BY o_orderkey LIMIT 50")
+dialect("win_rank_all", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM orders LIMIT 50", "SELECT o_orderkey, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM orders ORDER BY o_orderkey LIMIT 50")
 dialect("cte_bounded", "WITH late AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 900 LIMIT 30) SELECT o_custkey FROM late LIMIT 100", "WITH late AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 900 ORDER BY o_orderkey LIMIT 30) SELECT o_custkey FROM late")
 
 

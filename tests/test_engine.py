@@ -181,3 +181,12 @@ def test_statistics_of_all_languages(spark, languages):
     length = len(re.findall("[A-Za-z]+", FOUND))
     mean = (5 * length + 2) / 6
     assert all(s == pytest.approx(5 * log(1 + 1.5 / 5.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))) for s in scores.values())
+
+
+def test_rank_of_the_whole_table(spark, data):
+    """The rows shown are ranked among all orders of their customer, with ties, not among the rows shown."""
+    every = [(r["o_orderkey"], r["o_custkey"], r["o_orderpriority"]) for r in spark.read.parquet(f"{data}/orders.parquet").collect()]
+    want = [(k, 1 + sum(c == x and q < p for _, x, q in every)) for k, c, p in sorted(every)[:50]]
+    assert sorted(rows(Q.queries()["win_rank_all"](spark, data))) == want
+    shown = sorted(every)[:50]
+    assert want != [(k, 1 + sum(c == x and q < p for _, x, q in shown)) for k, c, p in shown]

@@ -653,8 +653,10 @@ def ingest_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT recall_id, query FROM memory_recalls")
 def ingest_idempotent(spark: SparkSession, d: str) -> DataFrame:
-    rows = ingest.digest(table(spark, d, "memory_recalls").select("recall_id", "query"), "recall_id", ["query"])
-    return ingest.merge_documents(rows.limit(0), rows, "recall_id").select("recall_id", "query")
+    """The whole table is delivered to a store that holds the recalls of the first weeks: replays and new ones."""
+    rows = ingest.digest(table(spark, d, "memory_recalls").select("recall_id", "query", "ingested_at"), "recall_id", ["query"])
+    stored = rows.filter("ingested_at < timestamp_ntz'2025-02-05'").dropDuplicates(["recall_id"])
+    return ingest.merge_documents(stored, rows, "recall_id").select("recall_id", "query")
 
 
 @query("SELECT recall_id, query FROM (SELECT DISTINCT recall_id, query FROM memory_recalls) WHERE recall_id > 100 ORDER BY recall_id LIMIT 64")

@@ -190,3 +190,19 @@ def test_rank_of_the_whole_table(spark, data):
     assert sorted(rows(Q.queries()["win_rank_all"](spark, data))) == want
     shown = sorted(every)[:50]
     assert want != [(k, 1 + sum(c == x and q < p for _, x, q in shown)) for k, c, p in shown]
+
+
+def test_idempotent_query_meets_stored_rows(spark, data, monkeypatch):
+    """The batch replays stored documents and brings new ones, and a stored document of other bytes is noticed."""
+    merge, met = ingest.merge_documents, []
+
+    def spy(base, batch, key):
+        met.append((base, batch))
+        return merge(base, batch, key)
+
+    monkeypatch.setattr(ingest, "merge_documents", spy)
+    Q.ingest_idempotent(spark, data)
+    base, batch = met[0]
+    assert base.join(batch, "recall_id", "left_semi").count() > 0 and batch.join(base, "recall_id", "left_anti").count() > 0
+    with pytest.raises(ValueError):
+        merge(base.withColumn("digest", F.lit("other")), batch, "recall_id")

@@ -2,15 +2,14 @@
 
 Method: SuperMinHash. Every element (a three-word sequence) draws one permutation of the signature's places and
 one fraction per step; the signature keeps the least step plus fraction at each place, and a document stops as
-soon as no later step can lower any place. Two signatures over all sequences are made in one pass over the texts: a
-short one, cut into BANDS bands of ROWS places, which proposes pairs, and a long one, kept as one bit per place, which
-estimates the similarity of a proposed pair inside its band; in bands of more than HOT rows four bits per place do, as
-one bit lets too many pairs of texts pass that share no more than boilerplate. Neighbours of neighbours are proposed too. What is left
+soon as no later step can lower any place. The first BANDS * ROWS places of a signature are cut into bands, which propose
+pairs; all places, kept as two bits each, estimate the similarity of a proposed pair inside its band. What is left
 is verified on the sets themselves, and union-find groups the verified links.
 
 Records with equal sets are one class and are proposed once; they are only listed one by one at the end.
 No sequence and no band is left out for being frequent: all rows of a band are compared, and a band of more than BLOCK
-rows is split into blocks, every two of which meet in a task of their own.
+rows is split into blocks, every two of which meet in a task of their own. The estimate can be switched off
+(``agreeing = (0, 0)``): every pair that shares a band is then verified.
 
 Defined cases: a text without a sequence (null, empty, shorter than three words) is in no pair and a group of its
 own; a re-delivered record counts once; an empty table gives an empty result. A key is looked at once, with the
@@ -21,11 +20,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,13 +34,12 @@ from . import textkernel as K
 
 WORDS, SIMILARITY = 3, 0.5
 ROWS, BANDS, PLACES = 2, 16, 128
-AGREEING = 82  # of PLACES bits; at a similarity of 0.5 three quarters are expected to agree, 96
-HOT = 64  # bands of more rows are compared by the wide sketch too
-NIBBLES = 52  # of PLACES; at a similarity of 0.5 68 are expected to agree, with a deviation of 5.6
+AGREEING = (82, 64)  # of PLACES first bits, and pairs of bits; at a similarity of 0.5 96 and 80 are expected to agree, with deviations of 4.9 and 5.5
+SKETCH = ("s1", "s2", "t1", "t2")
 BLOCK = 16_384  # rows of a band that are compared in one task
 TILE, SHIFTED = 512, 64
-SLOTS = 1 << 22  # of the filter that keeps only texts in proposed pairs for the verification
-HUB = 64  # neighbours of neighbours are proposed across records of at most so many neighbours
+TASK_ROWS = 400_000  # band rows of one task
+SPARSE = 12  # steps for which permutations are kept as lists of swaps
 
 
 def elements(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,54 +72,63 @@ def superminhash(flat: np.ndarray, counts: np.ndarray, places: int) -> np.ndarra
     """The SuperMinHash signature of every set of hashes; infinite for an empty one."""
     out = np.full((len(counts), places), np.inf)
     ends = np.cumsum(counts)
-    step = max(1, 16_000_000 // places)
     a = 0
     while a < len(counts):
         base = ends[a] - counts[a]
-        b = max(a + 1, int(np.searchsorted(ends, base + step, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, base + 50_000, side="right")))
         _superminhash(flat[base : ends[b - 1]], np.repeat(np.arange(b - a), counts[a:b]), out[a:b])
         a = b
     return out
 
 
 def _superminhash(flat: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
-    n, places = len(flat), out.shape[1]
-    order = np.broadcast_to(np.arange(places, dtype=np.uint8), (n, places)).copy()
-    row = np.arange(n)
-    low = out.reshape(-1)
+    """Most sets are done after a few steps, so the permutations start as the list of their swaps and become arrays only for what is left."""
+    places = out.shape[1]
+    low, swaps, order = out.reshape(-1), [], None
     for j in range(places):
-        if not len(row):
+        if not len(flat):
             return
-        draw = K.mix(flat[row] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        other = j + ((draw & np.uint64(0xFFFF)) % np.uint64(places - j)).astype(np.int64)
-        place = order[row, other]
-        order[row, other] = order[row, j]
-        value = j + (draw >> np.uint64(16)).astype(np.float64) / 2.0**48
-        np.minimum.at(low, owner[row] * places + place, value)
+        draw = K.mix(flat + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        other = (j + ((draw & np.uint64(0xFFFF)) % np.uint64(places - j))).astype(np.uint8)
+        if order is None:
+            place, here = other.copy(), np.full(len(flat), j, np.uint8)
+            for at, put in swaps:
+                np.copyto(place, put, where=at == other)
+                np.copyto(here, put, where=at == j)
+            swaps.append((other, here))
+        else:
+            row = np.arange(len(flat))
+            place = order[row, other]
+            order[row, other] = order[row, j]
+        np.minimum.at(low, owner * places + place, j + (draw >> np.uint64(16)).astype(np.float64) / 2.0**48)
         if j % 2 == 1 or j < 4:
-            open_ = out.max(axis=1) >= j + 1
-            row = row[open_[owner[row]]]
+            keep = (out.max(axis=1) >= j + 1)[owner]
+            if not keep.all():
+                flat, owner = flat[keep], owner[keep]
+                swaps = [(at[keep], put[keep]) for at, put in swaps]
+                order = order[keep] if order is not None else None
+        if j == SPARSE - 1:
+            row = np.arange(len(flat))
+            order = np.broadcast_to(np.arange(places, dtype=np.uint8), (len(flat), places)).copy()
+            for at, put in swaps:
+                order[row, at] = put
+            swaps = []
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    """A 64-bit key per band."""
-    bits = signature.view(np.uint64).reshape(len(signature), BANDS, ROWS)
+    """A 64-bit key per band of the first places."""
+    bits = np.ascontiguousarray(signature[:, : BANDS * ROWS]).view(np.uint64).reshape(len(signature), BANDS, ROWS)
     key = np.broadcast_to(K.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77)), (len(signature), BANDS)).copy()
     for i in range(ROWS):
         key = K.mix((key ^ bits[:, :, i]).ravel()).reshape(key.shape)
     return key.view(np.int64)
 
 
-def bits(signature: np.ndarray) -> np.ndarray:
-    """One bit per place, as PLACES / 64 integers."""
-    one = (K.mix(signature.view(np.uint64).ravel()).reshape(signature.shape) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(one, axis=1).view(np.int64)
-
-
-def nibbles(signature: np.ndarray) -> np.ndarray:
-    """Four bits per place, as PLACES / 2 bytes."""
-    four = (K.mix(signature.view(np.uint64).ravel()).reshape(signature.shape) >> np.uint64(1)).astype(np.uint8) & np.uint8(15)
-    return np.ascontiguousarray(four[:, ::2] << np.uint8(4) | four[:, 1::2])
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Two bits per place: the first bits of all places, and then the second ones, as PLACES / 32 integers."""
+    h = K.mix(signature.view(np.uint64).ravel()).reshape(signature.shape)
+    planes = [np.packbits(((h >> np.uint64(i)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for i in range(2)]
+    return np.hstack(planes)
 
 
 def set_ids(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -133,7 +141,7 @@ def set_ids(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signed(records: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, class, s1, s2, bands, wide`` of every row with a sequence; bands and sketches only at a class's first row in a task."""
+    """``key, class, s1, s2, t1, t2, bands`` of every row with a sequence; bands and sketches only at a class's first row in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -147,28 +155,18 @@ def signed(records: DataFrame, key: str, text: str) -> DataFrame:
                     if c and c not in met:
                         met.add(c)
                         first[i] = True
-                flat, counts = flat[np.repeat(first, counts)], counts[first]
-                long = superminhash(flat, counts, PLACES)
-                wide, long = nibbles(long), bits(long)
-                short = bands(superminhash(flat, counts, ROWS * BANDS))
-                rows = np.cumsum(first) - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(first, BANDS, 0))).astype(np.int32)), pa.array(short.ravel()))
-                at = np.append(0, np.cumsum(np.where(first, PLACES // 2, 0))).astype(np.int32)
-                sketch = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(wide)])
-                s = np.zeros((len(ids), 2), np.int64)
-                s[first] = long[rows[first]]
-                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), lists, sketch], ["key", "class", "s1", "s2", "bands", "wide"])
+                signature = superminhash(flat[np.repeat(first, counts)], counts[first], PLACES)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(first, BANDS, 0))).astype(np.int32)), pa.array(bands(signature).ravel()))
+                s = np.zeros((len(ids), len(SKETCH)), np.int64)
+                s[first] = sketch(signature)
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), *[pa.array(c) for c in np.ascontiguousarray(s.T)], lists], ["key", "class", *SKETCH, "bands"])
                 yield out.filter(pa.array(ids != 0))
 
-    return records.select(key, text).mapInArrow(run, f"key {records.schema[key].dataType.simpleString()}, class bigint, s1 bigint, s2 bigint, bands array<bigint>, wide binary")
-
-
-def _agree(a: str, b: str) -> Column:
-    return F.lit(PLACES) - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2"))) >= AGREEING
+    return records.select(key, text).mapInArrow(run, f"key {records.schema[key].dataType.simpleString()}, class bigint, {', '.join(f'{c} bigint' for c in SKETCH)}, bands array<bigint>")
 
 
 def large(signatures: DataFrame) -> DataFrame:
-    """``band, blocks`` of the bands of more than HOT rows. One that is missed is compared like any other, so no row depends on it."""
+    """``band, blocks`` of the bands of more than BLOCK rows. One that is missed is compared like any other, so no row depends on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> pa.RecordBatch:
@@ -186,46 +184,45 @@ def large(signatures: DataFrame) -> DataFrame:
             yield counted()
 
     sums = signatures.select("bands").mapInArrow(run, "band bigint, n bigint").groupBy("band").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") > min(HOT, BLOCK)).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return sums.filter(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
 
+def differing(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places the sketches of rows ``x`` and ``y`` differ."""
+    half = s.shape[1] // 2
+    return np.bitwise_count((s[x, :half] ^ s[y, :half]) | (s[x, half:] ^ s[y, half:])).sum(1)
 
-def alike(s: np.ndarray, wide: np.ndarray | None, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of all ``left`` x ``right`` rows those whose sketches ``s``, and wide sketches, agree in enough places."""
+
+def alike(s: np.ndarray, left: np.ndarray, right: np.ndarray, agreeing: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all ``left`` x ``right`` rows those whose sketches agree in enough places."""
     x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(0, len(left), TILE):
         a = left[i : i + TILE]
         for j in range(0, len(right), TILE):
             b = right[j : j + TILE]
             other = np.bitwise_count(s[a, 0][:, None] ^ s[b, 0]) + np.bitwise_count(s[a, 1][:, None] ^ s[b, 1])
-            at = np.flatnonzero(other <= PLACES - AGREEING)
+            at = np.flatnonzero(other <= PLACES - agreeing[0])
             p, q = a[at // len(b)], b[at % len(b)]
-            if wide is not None:
-                other = wide[p] ^ wide[q]
-                other |= other >> np.uint64(2)
-                other |= other >> np.uint64(1)
-                other &= np.uint64(0x1111111111111111)
-                keep = np.bitwise_count(other).sum(1) <= PLACES - NIBBLES
-                p, q = p[keep], q[keep]
-            x.append(p)
-            y.append(q)
+            keep = differing(s, p, q) <= PLACES - agreeing[1]
+            x.append(p[keep])
+            y.append(q[keep])
     return np.concatenate(x), np.concatenate(y)
 
 
-def meeting(group: np.ndarray, side: np.ndarray, ids: np.ndarray, s: np.ndarray, wide: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meeting(group: np.ndarray, side: np.ndarray, ids: np.ndarray, s: np.ndarray, agreeing: tuple[int, int] = AGREEING) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of different ids that agree, of each group of the sorted rows; sides 1 and 2 meet each other only."""
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(starts, len(group)))
-    small = np.repeat((sizes <= SHIFTED) & (wide is None), sizes)
-    for shift in range(1, int(sizes.max())):
-        if shift >= SHIFTED:
-            break
+    few = (sizes <= SHIFTED) & (np.maximum.reduceat(side, starts) == 0)
+    small = np.repeat(few, sizes)
+    for shift in range(1, min(SHIFTED, int(sizes.max()))):
         x = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
         if not len(x):
             break
-        y = x + shift
-        x, y = (p[np.bitwise_count(s[x] ^ s[y]).sum(1) <= PLACES - AGREEING] for p in (x, y))
-        yield x[ids[x] != ids[y]], y[ids[x] != ids[y]]
-    for a, n in zip(starts[~small[starts]].tolist(), sizes[~small[starts]].tolist()):
+        x = x[np.bitwise_count(s[x, :2] ^ s[x + shift, :2]).sum(1) <= PLACES - agreeing[0]]
+        x = x[(differing(s, x, x + shift) <= PLACES - agreeing[1]) & (ids[x] != ids[x + shift])]
+        yield x, x + shift
+    for a, n in zip(starts[~few].tolist(), sizes[~few].tolist()):
         rows = np.arange(a, a + n)
         across = side[a : a + n].any()
         if across:
@@ -233,79 +230,90 @@ def meeting(group: np.ndarray, side: np.ndarray, ids: np.ndarray, s: np.ndarray,
         else:
             pairs = [(rows[i : i + TILE], rows[i:]) for i in range(0, n, TILE)]
         for left, right in pairs:
-            x, y = alike(s, wide, left, right)
+            x, y = alike(s, left, right, agreeing)
             keep = (ids[x] != ids[y]) & (across | (x < y))
             yield x[keep], y[keep]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(agreeing: tuple[int, int]):
     """Rows sorted by group to pairs; a group may go over several batches."""
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, s = rows[:, 2], np.ascontiguousarray(rows[:, 3:5]).view(np.uint64)
-        wide = np.ascontiguousarray(rows[:, 5:]).view(np.uint64) if rows.shape[1] > 5 else None
-        for x, y in meeting(rows[:, 0], rows[:, 1], ids, s, wide):
-            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
-            for i in range(0, len(x), 100_000):
-                both = np.hstack([rows[x[i : i + 100_000], 2:5], rows[y[i : i + 100_000], 2:5]])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(both.T)], ["a", "a1", "a2", "b", "b1", "b2"])
-
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])
-        if batch.num_columns > 5:
-            rows = np.hstack([rows, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(len(rows), PLACES // 16)])
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        if held and held[0][0, 0] != rows[0, 0] or last:
-            yield from pairs(np.concatenate([*held, rows[:last]]))
-            held = []
-        held.append(rows[last:])
-    if held:
-        yield from pairs(np.concatenate(held))
-
-
-def proposed(signatures: DataFrame) -> DataFrame:
-    """``a, b``: pairs of classes, a < b, that share a band, or a neighbour that does, and look similar enough."""
-    rows = signatures.filter(F.size("bands") > 0).select(F.explode("bands").alias("band"), "class", "s1", "s2", "wide")
-    hot = F.broadcast(materialize(large(signatures)))
-    cold = rows.join(hot, "band", "left_anti").select(F.col("band").alias("g"), F.lit(0).cast("bigint").alias("side"), "class", "s1", "s2")
-    split = rows.join(hot, "band").withColumn("p", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).cast("bigint")
-    split = split.select(F.xxhash64("band", F.least("p", "q"), F.greatest("p", "q")).alias("g"), side.alias("side"), "class", "s1", "s2", "wide")
-    pairs = [r.repartition("g").sortWithinPartitions("g").mapInArrow(_meet, "a bigint, a1 bigint, a2 bigint, b bigint, b1 bigint, b2 bigint") for r in (cold, split)]
-    met = pairs[0].unionAll(pairs[1]).distinct()
-    one = met.select(*[F.struct(F.col(c).alias("class"), F.col(f"{c}1").alias("s1"), F.col(f"{c}2").alias("s2")).alias(c) for c in "ab"])
-    one = materialize(one)
-    both = one.select(F.col("a.class").alias("via"), F.col("b").alias("to")).unionAll(one.select(F.col("b.class"), F.col("a")))
-    degree = both.groupBy("via").count().filter((F.col("count") > 1) & (F.col("count") <= HUB)).select("via")
-    near = both.join(degree, "via")
-    two = near.select("via", F.col("to").alias("x")).join(near.select("via", F.col("to").alias("y")), "via").filter("x.class < y.class").filter(_agree("x", "y"))
-    every = one.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).unionAll(two.select("x.class", "y.class"))
-    return every.distinct()
+        ids, s = rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+        for x, y in meeting(rows[:, 0], rows[:, 1], ids, s, agreeing):
+            for i in range(0, len(x), 500_000):
+                a, b = ids[x[i : i + 500_000]], ids[y[i : i + 500_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            side = columns[1] if len(columns) == 3 + len(SKETCH) else np.zeros(len(columns[0]), np.int64)
+            rows = np.column_stack([columns[0], side, *columns[-1 - len(SKETCH) :]])
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if held and held[0][0, 0] != rows[0, 0] or last:
+                yield from pairs(np.concatenate([*held, rows[:last]]))
+                held = []
+            held.append(rows[last:])
+        if held:
+            yield from pairs(np.concatenate(held))
+
+    return run
+
+
+def partitions(df: DataFrame, rows: int, each: int = TASK_ROWS) -> int:
+    """As many partitions as keep a task at about ``each`` rows, and not less than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def proposed(signatures: DataFrame, agreeing: tuple[int, int] = AGREEING) -> DataFrame:
+    """``a, b``: pairs of classes, a < b, that share a band and look similar enough."""
+    n = partitions(signatures, signatures.count() * BANDS)
+    rows = signatures.filter(F.size("bands") > 0).select(F.explode("bands").alias("band"), "class", *SKETCH)
+    hot = materialize(large(signatures))
+    sent = [rows.withColumnRenamed("band", "g")]
+    if hot.limit(1).count():
+        sent[0] = rows.join(hot, "band", "left_anti").withColumnRenamed("band", "g")
+        split = rows.join(hot, "band").withColumn("p", F.pmod(F.xxhash64("class"), "blocks").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).cast("bigint")
+        sent.append(split.select(F.xxhash64("band", F.least("p", "q"), F.greatest("p", "q")).alias("g"), side.alias("side"), "class", *SKETCH))
+    met = [r.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meet(agreeing), "a bigint, b bigint") for r in sent]
+    return reduce(DataFrame.unionAll, met).distinct()
 
 
 def verified(pairs: DataFrame, records: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs of classes whose sets have at least the similarity."""
     spark = pairs.sparkSession
-    slots = pairs.select(F.explode(F.array(F.pmod("a", F.lit(SLOTS)).cast("int"), F.pmod("b", F.lit(SLOTS)).cast("int"))).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)
-    there = np.zeros(SLOTS, bool)
-    there[slots] = True
-    send = spark.sparkContext.broadcast(np.packbits(there))  # a fixed size
+    n = pairs.count()
+    # a filter of about 16 slots a pair, and never more than 2^28 (32 MB): it keeps sets that are in no pair from being sent, no result depends on it
+    slots = 1 << min(28, max(16, (16 * n).bit_length()))
+    slot = pairs.select(F.explode(F.array("a", "b")).alias("c")).select((F.pmod("c", F.lit(slots)) + 1).alias("s"))
+    marked = slot.groupBy(F.bitmap_bucket_number("s").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    there = np.zeros(slots // 8 + 4096, np.uint8)
+    for at, some in marked:
+        # bucket 1 holds the first 32,768 slots, each byte eight of them, the lowest bit first
+        there[(at - 1) * 4096 : at * 4096] |= np.frombuffer(some, np.uint8)
+    send = spark.sparkContext.broadcast(there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, met = np.unpackbits(send.value).astype(bool), set()
+        there, met = send.value, set()
         for batch in batches:
             for a, b in K.slices(batch.column(0)):
                 flat, counts = elements(batch.column(0).slice(a, b - a))
                 ids, ends = set_ids(flat, counts), np.cumsum(counts)
                 short = (flat >> np.uint64(8)).astype(np.uint32)
-                keep = [i for i in np.flatnonzero((ids != 0) & there[np.mod(ids, SLOTS)]).tolist() if not (ids[i] in met or met.add(ids[i]))]
+                slot = np.mod(ids, slots)
+                wanted = (ids != 0) & ((there[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+                keep = [i for i in np.flatnonzero(wanted).tolist() if not (ids[i] in met or met.add(ids[i]))]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([short[ends[i] - counts[i] : ends[i]].tobytes() for i in keep], pa.binary())], ["class", "set"])
 
     sets = records.select(text).mapInArrow(run, "class bigint, set binary")
-    wide = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    tasks = partitions(pairs, n, TASK_ROWS // 8)
+    wide = pairs.repartition(tasks, "a").join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
+    wide = wide.repartition(tasks, "b").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -325,10 +333,10 @@ def verified(pairs: DataFrame, records: DataFrame, text: str, similarity: float
     return wide.select("a", "b", "x", "y").mapInPandas(compare, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"])
 
 
-def links(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def links(records: DataFrame, key: str, text: str, agreeing: tuple[int, int] = AGREEING) -> tuple[DataFrame, DataFrame]:
     """``key, class`` of every record with a sequence, and ``a, b, similarity`` of the similar classes."""
     signatures = materialize(signed(records, key, text))
-    pairs = materialize(proposed(signatures))
+    pairs = materialize(proposed(signatures, agreeing))
     members = signatures.groupBy("key").agg(F.min("class").alias("class"))
     return members, verified(pairs, records, text)
 

@@ -2,8 +2,8 @@
 
 Method: structure-tree packing. A text is parsed into a tree (sections by headings; fenced blocks, tables, list
 items with their nested items and paragraphs inside; lines; sentences; clauses; words). Sibling subtrees are
-merged bottom-up while they stay under the limit, and only a subtree that is too large by itself is descended
-into. Between two siblings the cut is preferred whose size comes nearest to a multiple of the checkpoint.
+merged bottom-up while they stay under the limit, and only a subtree that is too large by itself, beside the overlap, is
+descended into. Between two siblings the cut is preferred whose size comes nearest to a multiple of the checkpoint.
 
 A token is a longest run of characters other than blank, tab, CR and LF. A piece has the last ``overlap`` tokens
 of the piece before it in front (fewer if that piece has fewer), and with them never more than the limit.
@@ -93,52 +93,34 @@ def tree(kinds: list[int], start: int, stop: int, kind: int = SECTION) -> Node:
 
 def pack(node: Node, limit: int, overlap: int, target: int) -> list[tuple[int, int]]:
     """Token ranges of the pieces (without overlap), each at most ``limit`` with the overlap in front of it."""
+    return merged(units(node, limit - overlap, target), limit, limit - overlap, target)
+
+
+def units(node: Node, room: int, target: int) -> list[tuple[int, int]]:
+    """A node that fits as one range; the ranges of a larger one's children, merged; of words, cuts at multiples of the checkpoint."""
+    if node.stop - node.start <= room:
+        return [(node.start, node.stop)]
+    if node.children:
+        return merged([u for child in node.children for u in units(child, room, target)], room, room, target)
+    size = room if target <= 0 or room < target else room // target * target
+    return [(a, min(a + size, node.stop)) for a in range(node.start, node.stop, size)]
+
+
+def merged(ranges: list[tuple[int, int]], first_room: int, room: int, target: int) -> list[tuple[int, int]]:
+    """Neighbouring ranges put together while they fit; a range is never cut."""
     out: list[tuple[int, int]] = []
-    first = node.start
-
-    whole = 0  # tokens of the last piece, with its overlap
-
-    def room() -> int:
-        return limit - min(overlap, whole)
-
-    def close(stop: int) -> None:
-        nonlocal first, whole
-        if stop > first:
-            whole = stop - first + min(overlap, whole)
-            out.append((first, stop))
-            first = stop
-
-    def add(node: Node) -> None:
-        if node.stop - first <= room():
-            return  # merged with what is open
-        if not node.children:
-            at = first
-            while node.stop - first > room():
-                # words: cut at the last multiple of the checkpoint that fits
-                fit = room()
-                size = fit if target <= 0 or fit < target else fit // target * target
-                if node.start - first > 0 and node.start - first >= size:
-                    close(node.start)
-                else:
-                    close(min(node.stop, first + max(1, size)))
-                at += 1
-            return
-        ends = [c.stop for c in node.children]
-        for child in node.children:
-            if child.stop - first <= room():
-                continue
-            # what is open ends at a sibling boundary, the one nearest to a multiple of the checkpoint
-            cuts = [e for e in (node.start, *ends) if first < e <= min(child.start, first + room())]
-            if cuts and child.stop - child.start <= room():
-                close(best(cuts, first, room(), target))
-            elif cuts and (cuts[-1] - first) * 2 >= room():
-                close(best(cuts, first, room(), target))
-            if child.stop - first > room():
-                add(child)
-        return
-
-    add(node)
-    close(node.stop)
+    i = 0
+    while i < len(ranges):
+        start, space = ranges[i][0], room if out else first_room
+        ends = [ranges[i][1]]
+        for _, stop in ranges[i + 1 :]:
+            if stop - start > space:
+                break
+            ends.append(stop)
+        if ends[-1] < ranges[-1][1]:
+            ends = ends[: ends.index(best(ends, start, space, target)) + 1]
+        out.append((start, ends[-1]))
+        i += len(ends)
     return out
 
 

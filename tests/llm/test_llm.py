@@ -147,6 +147,33 @@ def test_pieces_edges(spark):
     assert rows(splitting.pieces(docs.limit(0), profile)) == []
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_no_node_that_fits_is_cut(seed):
+    """Every cut lies at the boundary of each node around it that fits beside the overlap."""
+    rnd = random.Random(seed)
+    for _ in range(40):
+        parts = []
+        for _ in range(rnd.randint(2, 12)):
+            sentences = [" ".join(rnd.choice(["aa", "b,", "ccc", "d;"]) for _ in range(rnd.randint(1, 25))) + "." for _ in range(rnd.randint(1, 6))]
+            parts.append(rnd.choice(["", "# Head line\n\n"]) + rnd.choice([" ", "\n"]).join(sentences))
+        text = "\n\n".join(parts)
+        limit, overlap, target = rnd.choice([(100, 0, 0), (60, 10, 16), (30, 5, 8)])
+        spans, kinds = splitting.boundaries(text)
+        root = splitting.tree(kinds, 0, len(spans))
+        cuts = {a for a, _ in splitting.pack(root, limit, overlap, target)}
+
+        def fits(node):
+            if node.stop - node.start <= limit - overlap:
+                yield node
+            else:
+                for child in node.children:
+                    yield from fits(child)
+
+        for node in fits(root):
+            assert not any(node.start < c < node.stop for c in cuts)
+        assert all(b - a <= limit - (overlap if a else 0) for a, b in splitting.pack(root, limit, overlap, target))
+
+
 # 4
 def jaccard(a, b):
     def grams(t):

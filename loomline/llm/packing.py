@@ -14,11 +14,15 @@ apart by key and piece; a key given twice is packed twice; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
+SALTED = 50_000  # a size of more items is ranked in salts of about half as many to as many
+RANK = 44  # bits of a rank within a size
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -130,39 +134,59 @@ def pieces(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """``key, piece, start, n, container``: every item, laid into containers of ``capacity``.
 
-    ``items`` is read twice; give a stored table. The driver gets the histogram only, at most ``capacity`` times SALTS rows.
+    ``items`` is read three times; give a stored table. The driver gets the histogram (at most ``capacity`` rows) and the counts
+    of the salted sizes (one row per SALTED items beyond it).
     """
     spark = items.sparkSession
     cut = pieces(items, key, size, capacity)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALTS)))
-    counts = {(r["n"], r["_salt"]): r["c"] for r in salted.filter("n > 0").groupBy("n", "_salt").agg(F.count("*").alias("c")).collect()}
-    histogram: dict[int, int] = {}
-    for (n, _), c in counts.items():
-        histogram[n] = histogram.get(n, 0) + c
-    segments, base, reached = [], 0, dict.fromkeys(histogram, 0)
-    for pattern, times in plan(histogram, capacity):
+    histogram = {r["n"]: r["c"] for r in cut.filter("n > 0").groupBy("n").agg(F.count("*").alias("c")).collect()}
+    empty = cut.filter("n = 0").select(key, "piece", "start", "n", F.lit(None).cast("bigint").alias("container"))
+    if not histogram:
+        return empty
+    # a size is salted by how often it occurs; a power of two each, so that one mask gives the salt
+    mask = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        mask[n] = (1 << (c // SALTED).bit_length()) - 1
+    often = np.flatnonzero(mask).tolist()
+    # a constant array, folded once
+    chosen = F.get(F.split(F.lit(",".join(map(str, mask))), ",").cast("array<bigint>"), F.col("n").cast("int"))
+    salted = cut.filter("n > 0").withColumn("_mask", chosen).withColumn("_salt", F.xxhash64(key, "piece").bitwiseAND(F.col("_mask")))
+    counts = salted.filter("_mask > 0").groupBy("n", "_salt").agg(F.count("*").alias("c")).collect() if often else []
+    # ranks of a size start where those of its smaller salts end
+    base = np.zeros(capacity + 2, np.int64)
+    base[1:] = np.cumsum(mask + 1)
+    before = np.zeros(base[-1], np.int64)
+    for n, salt, c in counts:
+        before[base[n] + salt] = c
+    for n in often:
+        part = before[base[n] : base[n + 1]]
+        part[:] = np.cumsum(part) - part
+    table = segments(plan(histogram, capacity), histogram)
+    send = spark.sparkContext.broadcast((base, before, table))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, before, (code, shift, each, at) = send.value
+        for batch in batches:
+            n, salt, rank = (batch.column(3 + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            rank = rank + before[base[n] + salt]
+            row = np.searchsorted(code, (n << RANK) | rank, side="right") - 1
+            container = at[row] + (rank - shift[row]) // each[row]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(container)], [key, "piece", "start", "n", "container"])
+
+    w = Window.partitionBy("n", "_salt").orderBy(key, "piece")
+    ranked = salted.withColumn("_r", F.row_number().over(w) - 1).select(key, "piece", "start", "n", "_salt", "_r")
+    kind = items.schema[key].dataType.simpleString()
+    return ranked.mapInArrow(place, f"`{key}` {kind}, piece int, start bigint, n bigint, container bigint").unionAll(empty)
+
+
+def segments(patterns: list[tuple[tuple[int, ...], int]], histogram: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of items of one size in rank order: code (size and first rank), first rank, items a container, first container; by code."""
+    rows, base, reached = [], 0, dict.fromkeys(histogram, 0)
+    for pattern, times in patterns:
         for s in set(pattern):
             each = pattern.count(s)
-            segments.append((s, reached[s], reached[s] + each * times, each, base))
+            rows.append(((s << RANK) | reached[s], reached[s], each, base))
             reached[s] += each * times
         base += times
     assert reached == histogram, "the plan holds every item once"
-    offsets, before = [], {}
-    for (n, salt), c in sorted(counts.items()):
-        offsets.append((n, salt, before.get(n, 0)))
-        before[n] = before.get(n, 0) + c
-    offset = spark.createDataFrame(offsets, "n bigint, _salt bigint, _offset bigint")
-    w = Window.partitionBy("n", "_salt").orderBy(key, "piece")
-    ranked = salted.filter("n > 0").withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(offset), ["n", "_salt"])
-    ranked = ranked.withColumn("_r", F.col("_r") + F.col("_offset"))
-    # segments of a size lie in order in an array, so that each item looks its own up by its rank
-    by_size: dict[int, list[tuple[int, int, int, int]]] = {}
-    for s, a, b, each, at in segments:
-        by_size.setdefault(s, []).append((a, b, each, at))
-    rows = [(s, a, b, each, at) for s, group in by_size.items() for a, b, each, at in sorted(group)]
-    segment = spark.createDataFrame(rows, "n bigint, _a bigint, _b bigint, _each bigint, _at bigint")
-    placed = ranked.join(F.broadcast(segment), ["n"]).filter("_r >= _a and _r < _b")
-    placed = placed.withColumn("container", F.col("_at") + F.expr("(_r - _a) div _each"))
-    empty = cut.filter("n = 0").withColumn("container", F.lit(None).cast("bigint"))
-    columns = [key, "piece", "start", "n", "container"]
-    return placed.select(*columns).unionAll(empty.select(*columns))
+    return tuple(np.array(sorted(rows), np.int64).reshape(-1, 4).T.copy())

@@ -348,7 +348,9 @@ def test_plan(capacity):
     assert used == sizes and (capacity == 1 or bins <= max(least * 1.06, least + 2, sum(n for s, n in sizes.items() if 2 * s > capacity)))
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("salted", [packing.SALTED, 8])
+def test_pack(spark, monkeypatch, salted):
+    monkeypatch.setattr(packing, "SALTED", salted)
     rnd = random.Random(9)
     data = [(i, rnd.choice([3, 3, 3, rnd.randint(0, 9), 25]), 1) for i in range(300)] + [(5, 4, 2), (5, 4, 3), (777, None, 4), (None, 2, 5)]
     df = spark.createDataFrame(data, "k bigint, size int, n int")

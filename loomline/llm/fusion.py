@@ -4,8 +4,9 @@ Method: in each request every score is standardised by its median and median abs
 the logistic function so that outliers stay bounded, and the bounded values are combined by a weighted
 geometric mean (equal weights unless given).
 
-The median is ``percentile_approx`` at an accuracy of 10,000: exact for a request of up to 10,000 candidates,
-of bounded memory beyond, and combined on the map side, so that one request may hold a third of all rows.
+Medians (the value at rank ceil(n / 2)) are exact at every size. ``percentile_approx`` at an accuracy of 10,000, combined on the map side, is exact
+for a request of up to 10,000 candidates; for the median of a larger one it gives bounds, and the median is found among the
+values between them, a share of about 4 in 10,000, so that one request may hold a third of all rows.
 Ranks within a request come from windows limited to the first few rows, which Spark prunes before the shuffle.
 
 Defined cases: a null or NaN score is no score of its branch and counts as FLOOR in the mean; an infinite score
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 FLOOR = 1e-3
 ACCURACY = 10_000
 # Metrics for which a smaller score is better.
@@ -30,15 +33,43 @@ def present(score: Column) -> Column:
     return F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.least(score, F.lit(top)), F.lit(-top)))
 
 
+def crowding(df: DataFrame, group: str) -> bool:
+    """Whether a group has more rows than are surely exact in one pass."""
+    return bool(df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > ACCURACY).limit(1).count())
+
+
+def medians(df: DataFrame, group: str, values: dict[str, Column], crowded: bool) -> DataFrame:
+    """``group`` and the exact median of each of ``values``, null where a group has no value.
+
+    ``crowded`` says whether any group may have more rows than ACCURACY; only then the bounds are followed up.
+    """
+    rows = df.select(group, *[v.alias(n) for n, v in values.items()])
+    near = rows.groupBy(group).agg(
+        *[F.percentile_approx(n, F.array(F.lit(0.5 - 2 / ACCURACY), F.lit(0.5), F.lit(0.5 + 2 / ACCURACY)), ACCURACY).alias(n) for n in values],
+        *[F.count(n).alias(f"_n_{n}") for n in values],
+    )
+    few = near.select(group, *[F.col(n)[1].alias(n) for n in values], *[F.when(F.col(f"_n_{n}") > ACCURACY, F.col(n)).alias(f"_b_{n}") for n in values], *[f"_n_{n}" for n in values])
+    if not crowded:
+        return few.select(group, *values)
+    for n in values:
+        bounds = few.filter(F.col(f"_b_{n}").isNotNull()).select(group, F.col(f"_b_{n}")[0].alias("_lo"), F.col(f"_b_{n}")[2].alias("_hi"), F.col(f"_n_{n}").alias("_n"))
+        inside = rows.select(group, F.col(n).alias("_v")).join(bounds, group).filter(F.col("_v").isNotNull() & (F.col("_v") <= F.col("_hi")))
+        # equal values, and all those below the bounds, become one row each on the map side
+        counts = inside.groupBy(group, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+        reached = F.sum("_c").over(Window.partitionBy(group).orderBy(F.col("_v").asc_nulls_first()))
+        exact = counts.withColumn("_s", reached).filter(F.col("_v").isNotNull() & (F.col("_s") * 2 >= F.col("_n"))).groupBy(group).agg(F.min("_v").alias("_exact"))
+        few = few.join(exact, group, "left").withColumn(n, F.coalesce("_exact", n)).drop("_exact")
+    return few.select(group, *values)
+
+
 def combine(df: DataFrame, group: str, scores: dict[str, float], out: str = "combined") -> DataFrame:
     """``df`` with ``out``, the weighted geometric mean of the bounded values of ``scores`` (name -> weight).
 
     Every score must already be 'larger is better'. Two small aggregates per group are joined back.
     """
-    names = list(scores)
-    middle = df.groupBy(group).agg(*[F.percentile_approx(n, 0.5, ACCURACY).alias(f"_m{i}") for i, n in enumerate(names)])
-    centred = df.join(middle, group, "left")
-    spread = centred.groupBy(group).agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"_m{i}")), 0.5, ACCURACY).alias(f"_s{i}") for i, n in enumerate(names)])
+    names, crowded = list(scores), crowding(df, group)
+    centred = df.join(medians(df, group, {f"_m{i}": F.col(n) for i, n in enumerate(names)}, crowded), group, "left")
+    spread = medians(centred, group, {f"_s{i}": F.abs(F.col(n) - F.col(f"_m{i}")) for i, n in enumerate(names)}, crowded)
     wide = centred.join(spread, group, "left")
     total, log = sum(scores.values()), F.lit(0.0)
     for i, n in enumerate(names):
@@ -58,7 +89,7 @@ def candidates(df: DataFrame) -> DataFrame:
 
 def ranking(df: DataFrame) -> DataFrame:
     """``request_id, object_id, combined`` of every candidate; order by combined descending, then object_id."""
-    return combine(candidates(df), "request_id", {"lexical": 1.0, "vector": 1.0}).select("request_id", "object_id", "lexical", "vector", "combined")
+    return combine(materialize(candidates(df)), "request_id", {"lexical": 1.0, "vector": 1.0}).select("request_id", "object_id", "lexical", "vector", "combined")
 
 
 def agreed_first(df: DataFrame, first: int = 3) -> DataFrame:

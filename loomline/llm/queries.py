@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.ranking(table(spark, d, "hybrid_candidates"))
+    return fusion.ranking(table(spark, d, "hybrid_candidates")).withColumn("combined", F.round("combined", 9))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -106,6 +106,11 @@ def queries() -> dict[str, Query]:
 
 _SQUASHED = "0.5 * ln(CASE WHEN {c} IS NULL THEN 0.001 ELSE greatest(0.001, 1 / (1 + exp(least(700, -(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / (1.4826 * s_{c}) ELSE 0 END))))) END)"
 
+_SCORES = f"""WITH c AS (SELECT request_id, object_id, MAX(CASE WHEN isnan(lexical) THEN NULL ELSE lexical END) AS lexical, MAX(CASE WHEN isnan(vector) THEN NULL WHEN vector_metric IN ('squared_l2', 'negative_dot') THEN -vector ELSE vector END) AS vector FROM hybrid_candidates GROUP BY 1, 2),
+m AS (SELECT request_id, quantile_disc(lexical, 0.5) AS m_lexical, quantile_disc(vector, 0.5) AS m_vector FROM c GROUP BY 1),
+s AS (SELECT request_id, quantile_disc(abs(lexical - m_lexical), 0.5) AS s_lexical, quantile_disc(abs(vector - m_vector), 0.5) AS s_vector FROM c JOIN m USING (request_id) GROUP BY 1),
+k AS (SELECT c.*, {_SQUASHED.format(c="lexical")} + {_SQUASHED.format(c="vector")} AS score FROM c JOIN m USING (request_id) JOIN s USING (request_id))"""
+
 # where a result has an exact form in SQL; the others are held against brute force in the tests
 ORACLES = {
     "p2_found": """WITH once AS (SELECT DISTINCT ON (run_id) * FROM latency_runs WHERE samples IS NOT NULL ORDER BY run_id),
@@ -114,12 +119,10 @@ q AS (SELECT surface, build, quantile_disc(v, 0.5) AS a, quantile_disc(v, 0.99)
 SELECT surface, build, 50 AS pct FROM q JOIN warm_targets USING (surface) WHERE a > p50 UNION ALL SELECT surface, build, 99 FROM q JOIN warm_targets USING (surface) WHERE b > p99""",
     "p3_found": r"""WITH now AS (SELECT DISTINCT ON (object_id) object_id, profile_id, text FROM product_documents ORDER BY object_id, version DESC)
 SELECT object_id FROM now JOIN embedding_profiles USING (profile_id) WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > max_input_tokens_per_input""",
-    "p5_found": f"""WITH c AS (SELECT request_id, object_id, MAX(CASE WHEN isnan(lexical) THEN NULL ELSE lexical END) AS lexical, MAX(CASE WHEN isnan(vector) THEN NULL WHEN vector_metric IN ('squared_l2', 'negative_dot') THEN -vector ELSE vector END) AS vector FROM hybrid_candidates GROUP BY 1, 2),
-m AS (SELECT request_id, quantile_disc(lexical, 0.5) AS m_lexical, quantile_disc(vector, 0.5) AS m_vector FROM c GROUP BY 1),
-s AS (SELECT request_id, quantile_disc(abs(lexical - m_lexical), 0.5) AS s_lexical, quantile_disc(abs(vector - m_vector), 0.5) AS s_vector FROM c JOIN m USING (request_id) GROUP BY 1),
-k AS (SELECT c.*, {_SQUASHED.format(c="lexical")} + {_SQUASHED.format(c="vector")} AS score FROM c JOIN m USING (request_id) JOIN s USING (request_id)),
+    "p5_found": _SCORES + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, object_id) AS b, rank() OVER (PARTITION BY request_id ORDER BY lexical DESC NULLS LAST) AS x, rank() OVER (PARTITION BY request_id ORDER BY vector DESC NULLS LAST) AS y FROM k)
 SELECT request_id, object_id FROM r WHERE b = 1 AND x <= 3 AND y <= 3 AND lexical IS NOT NULL AND vector IS NOT NULL""",
+    "p5_ranking": _SCORES + " SELECT request_id, object_id, lexical, vector, ROUND(exp(score), 9) AS combined FROM k",
 }
 
 

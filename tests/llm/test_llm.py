@@ -284,6 +284,19 @@ def test_fusion(spark):
     assert rows(fusion.agreed_first(df.limit(0))) == []
 
 
+def test_medians_are_exact_beyond_the_accuracy(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "ACCURACY", 50)
+    rnd = random.Random(3)
+    data = [(g, rnd.choice([rnd.gauss(0, 9), 1.0, None])) for g, n in (("a", 3000), ("b", 40), ("c", 1), ("d", 701)) for _ in range(n)] + [("e", None)]
+    data += [("f", 5.0)] * 400
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    assert fusion.crowding(df, "g") and not fusion.crowding(df.filter("g in ('b', 'c')"), "g")
+    got = dict(rows(fusion.medians(df, "g", {"m": F.col("x")}, True)))
+    for g in "abcdef":
+        values = sorted(v for k, v in data if k == g and v is not None)
+        assert got[g] == (values[(len(values) + 1) // 2 - 1] if values else None)
+
+
 # 6
 def test_personal_information():
     rnd = random.Random(7)

@@ -6,14 +6,18 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import kernel as K
+
 MAX_TOKEN_BYTES = 256
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
-_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 # English stop words, version 1.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -33,11 +37,17 @@ def tokens(text: str | None) -> list[tuple[str, int]]:
     return [(w, i) for i, w in enumerate(_words(text)) if len(w) <= MAX_TOKEN_BYTES // 4 or len(w.encode()) <= MAX_TOKEN_BYTES]
 
 
-@lru_cache(1 << 16)
+# The frozen folding table, version 1: what each letter becomes, and the letters. Other characters stay.
+FOLDED = {
+    "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđð", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľŀł", "n": "ñńņňŉ",
+    "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţťŧ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž", "ae": "æ", "oe": "œ", "th": "þ",
+}
+_FOLD = str.maketrans({letter: plain for plain, letters in FOLDED.items() for letter in letters})
+
+
 def fold_ascii(term: str) -> str:
-    """Latin letters without their marks; ligatures and Nordic letters spelled out."""
-    spelled = term.translate({0xE6: "ae", 0x153: "oe", 0xF8: "o", 0xFE: "th", 0xF0: "d", 0xDF: "ss", 0x111: "d", 0x142: "l", 0x131: "i"})
-    return "".join(c for c in unicodedata.normalize("NFD", spelled) if unicodedata.category(c) != "Mn")
+    """Latin letters of the table without their marks."""
+    return term.translate(_FOLD)
 
 
 def _consonant(w: str, i: int) -> bool:
@@ -106,6 +116,17 @@ def stem(w: str) -> str:
     return w
 
 
+FILTERS = ("lowercase", "fold", "stop", "stem")
+
+
+def pipeline(names: list[str]) -> dict[str, bool]:
+    """The filters of a named pipeline: ``lowercase`` first, then any of fold, stop and stem in this order, each once; others are refused."""
+    places = [FILTERS.index(n) if n in FILTERS else -1 for n in names]
+    if not names or places[0] != 0 or -1 in places or any(a >= b for a, b in zip(places, places[1:])):
+        raise ValueError("a pipeline is lowercase, then fold, stop and stem in this order")
+    return {"fold": "fold" in names, "stop": "stop" in names, "stemmed": "stem" in names}
+
+
 def analyze(text: str | None, fold: bool = False, stop: bool = False, stemmed: bool = False) -> list[tuple[str, int]]:
     """Tokens through the optional filters, in the order fold, stop, stem; positions stay those of the text."""
     out = tokens(text)
@@ -180,121 +201,192 @@ def chunk_fixed(text: str, size: int, overlap: int = 0) -> list[tuple[int, int]]
     return out
 
 
+_SENTENCE_END = regex.compile(r"[.!?。！？]\p{White_Space}+")
+
+
 def chunk_sentences(text: str, target: int, maximum: int) -> list[tuple[int, int]]:
-    """Byte ranges of whole sentences up to ``target`` bytes; what would pass ``maximum`` is cut hard there.
+    """Byte ranges of whole sentences: a chunk is closed by the sentence that reaches ``target`` bytes; what would pass ``maximum`` is cut hard there.
 
-    The cut also falls inside a sentence that follows a short one, whenever both together pass the maximum.
+    A sentence ends behind the white space after a terminator. The hard cut also falls inside a sentence that follows a
+    short one, whenever both together pass the maximum.
     """
     if not 0 < target <= maximum:
         raise ValueError("0 < target <= maximum")
-    ends, data = [], text.encode()
-    for m in re.finditer(r"[.!?。！？]+(?=\s|$)\s*|[。！？]", text):
-        ends.append(len(text[: m.end()].encode()))
-    if not ends or ends[-1] < len(data):
+    data, ends, chars, size = text.encode(), [], 0, 0
+    for m in _SENTENCE_END.finditer(text):
+        size += len(text[chars : m.end()].encode())
+        chars = m.end()
+        ends.append(size)
+    if data and (not ends or ends[-1] < len(data)):
         ends.append(len(data))
-    out, start, stop = [], 0, 0
+    out, start = [], 0
     for end in ends:
         while end - start > maximum:
             cut = start + maximum
-            while cut < len(data) and (data[cut] & 0xC0) == 0x80:
+            while (data[cut] & 0xC0) == 0x80:
                 cut -= 1
             out.append((start, cut))
-            start = stop = cut
-        if end - start > target and stop > start:
-            out.append((start, stop))
-            start = stop
-        stop = end
-    if stop > start:
-        out.append((start, stop))
-    return out
+            start = cut
+        if end - start >= target:
+            out.append((start, end))
+            start = end
+    return out + [(start, len(data))] * (start < len(data))
 
 
 def highlights(text: str, terms: list[str], size: int = 160, most: int = 4) -> list[str]:
-    """Up to ``most`` fragments of about ``size`` bytes of the normalised text, a quarter of it before the match, not overlapping."""
+    """Up to ``most`` fragments of at most ``size`` bytes of the normalised text, from a quarter of it before the match on, not overlapping."""
     normal = unicodedata.normalize("NFKC", text or "").casefold()
-    out, last = [], 0
-    for m in re.finditer(r"\w+", normal):
+    data, wanted = normal.encode(), set(terms)
+    out, last, chars, at = [], 0, 0, 0
+    for m in _WORD.finditer(normal):
         if len(out) == most:
             break
-        if m.group() in terms and m.start() >= last:
-            lead = normal[last : m.start()].encode()
-            lead = lead[max(0, len(lead) - size // 4) :].decode("utf-8", "ignore")
-            start = m.start() - len(lead)
-            fragment = truncate_utf8(normal[start:], size)
+        if m.group() not in wanted:
+            continue
+        at += len(normal[chars : m.start()].encode())
+        chars = m.start()
+        if at < last:
+            continue
+        start = max(last, at - size // 4)
+        while start > 0 and (data[start] & 0xC0) == 0x80:
+            start -= 1
+        fragment = data[start : start + size].decode("utf-8", "ignore")
+        if fragment:
             out.append(fragment)
-            last = start + len(fragment)
+            last = start + len(fragment.encode())
     return out
 
 
 # Spellings that mark a secret.
-SECRET_MARKS = ("password", "passwd", "secret", "api_key", "apikey", "api-key", "access_token", "auth_token", "private_key", "client_secret", "bearer ", "-----begin", "aws_access", "credential")
+SECRET_MARKS = ("authorization:", "bearer ", "private key", "password=", "secret=", "token=", "api_key=", "api-key=", "hyp1_", "github_pat_", "ghp_", "xoxb-", "sk-", ".env")
+_EDGES = re.compile(r"^[^A-Za-z0-9_\-]+|[^A-Za-z0-9_\-]+$")
+_CLASSES = [re.compile(c) for c in ("[a-z]", "[A-Z]", "[0-9]", "[_-]")]
 
 
 def has_secret(text: str | None) -> bool:
-    """A secret's mark, or a token of 32 to 512 characters of at least three classes."""
+    """A secret's mark, or a word of 32 to 512 bytes with at least three of lower case, upper case, digits and ``_ -``."""
     if not text:
         return False
     low = text.lower()
     if any(m in low for m in SECRET_MARKS):
         return True
-    for t in text.split():
-        if 32 <= len(t) <= 512:
-            kinds = (any(c.islower() for c in t), any(c.isupper() for c in t), any(c.isdigit() for c in t), any(not c.isalnum() for c in t))
-            if sum(kinds) >= 3:
+    for word in re.split(r"[\s\"']", text):
+        if len(word) >= 32:
+            bare = _EDGES.sub("", word)
+            if 32 <= len(bare.encode()) <= 512 and sum(c.search(bare) is not None for c in _CLASSES) >= 3:
                 return True
     return False
 
 
 def luhn(digits: str) -> bool:
+    """A valid check digit; all zeros are none."""
     d = [int(c) for c in reversed(digits)]
-    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+    total = sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])
+    return total > 0 and total % 10 == 0
 
 
-_PII = {
-    "email": re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
-    "ssn": re.compile(r"\b\d{3}-\d{2}-\d{4}\b"),
-    "phone": re.compile(r"(?<!\w)\+?\d{1,3}?[ .-]?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b"),
-    "ipv4": re.compile(r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
-    "mac": re.compile(r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b"),
-    "uuid": re.compile(r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"),
-    "home": re.compile(r"(?:/home/|/Users/|[A-Za-z]:\\Users\\)[\w.-]+"),
-}
-_CARD = re.compile(r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)")
+# Labels of personal data, and folders that name a person.
+PII_LABELS = (
+    "email:", "e-mail:", "correo:", "phone:", "telephone:", "teléfono:", "telefono:", "mobile:", "address:", "dirección:", "direccion:", "date of birth", "birth date",
+    "fecha de nacimiento", "social security", "ssn:", "dni:", "passport:", "pasaporte:", "credit card", "tarjeta de crédito", "tarjeta de credito", "bank account",
+    "cuenta bancaria", "latitude:", "longitude:", "latitud:", "longitud:",
+)
+HOMES = ("/home/", "c:\\users\\")
+_EMAIL_SHAPE = re.compile(r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]@(?=([A-Za-z0-9.-]+))")
+_PHONE_RUN, _CARD_RUN, _IP_RUN = re.compile(r"[0-9+()\-. ]+"), re.compile(r"[0-9 -]+"), re.compile(r"[0-9.]+")
+_SSN_SHAPE = re.compile(r"\d{3}-\d{2}-\d{4}", re.A)
+_MAC_SHAPE = re.compile(r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}|[0-9A-Fa-f]{2}(?:-[0-9A-Fa-f]{2}){5}")
+_UUID_SHAPE = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+
+
+def _email(text: str) -> bool:
+    parts = [m.group(1).rpartition(".") for m in _EMAIL_SHAPE.finditer(text)]
+    return any(host and len(suffix) >= 2 for host, _, suffix in parts)
+
+
+def _phone(text: str) -> bool:
+    return any(10 <= sum(map(str.isdigit, run)) <= 15 and re.search(r"[+( -]", run) for run in _PHONE_RUN.findall(text))
+
+
+def _card(text: str) -> bool:
+    runs = (re.sub(r"\D", "", run) for run in _CARD_RUN.findall(text))
+    return any(13 <= len(run) <= 19 and luhn(run) for run in runs)
+
+
+def _ip(text: str) -> bool:
+    for run in _IP_RUN.findall(text):
+        parts = run.strip(".").split(".")
+        if len(parts) == 4 and all(0 < len(p) <= 3 and int(p) <= 255 and (len(p) == 1 or p[0] != "0") for p in parts):
+            return True
+    return False
+
+
+def _bare(words: list[str], kept: str) -> list[str]:
+    edges = re.compile(rf"^[^{kept}]+|[^{kept}]+$")
+    return [edges.sub("", w) for w in words]
 
 
 def pii_kinds(text: str | None) -> list[str]:
-    """The kinds of personal data whose shape the text has, in alphabetical order."""
+    """The kinds of personal data that a label or the shape of the text shows, in alphabetical order."""
     if not text:
         return []
-    found = {k for k, p in _PII.items() if p.search(text)}
-    if any(luhn(re.sub(r"\D", "", m.group())) for m in _CARD.finditer(text)):
-        found.add("card")
-    return sorted(found)
-
-
-# Words that open a line worth keeping, in English and Spanish.
-CAPTURE = {
-    "decision": ("we decided", "decision:", "decidimos", "se decidió", "decisión:"),
-    "constraint": ("must ", "must not", "never ", "always ", "do not ", "constraint:", "debe ", "nunca ", "siempre ", "restricción:"),
-    "fact": ("fact:", "note:", "root cause", "hecho:", "nota:", "causa raíz"),
-    "journal": ("today ", "done:", "finished ", "measured ", "hoy ", "hecho hoy", "terminé"),
-}
+    low, words = text.lower(), text.split()
+    found = {
+        "label": any(label in low for label in PII_LABELS), "home": any(h in low for h in HOMES), "email": _email(text), "phone": _phone(text), "card": _card(text), "ipv4": _ip(text),
+        "ssn": any(_SSN_SHAPE.fullmatch(w) for w in _bare(words, "A-Za-z0-9-")), "mac": any(_MAC_SHAPE.fullmatch(w) for w in _bare(words, "0-9A-Fa-f:-")),
+        "uuid": any(_UUID_SHAPE.fullmatch(w) for w in _bare(words, "0-9A-Fa-f-")),
+    }
+    return sorted(k for k, there in found.items() if there)
+
+
+CAPTURE_BYTES = (8, 512)
+# How a line worth keeping begins or what it holds, in English and Spanish: marks, kind, name, and whether the mark is cut off.
+CAPTURE_HEADS = (
+    (("decision:", "decisión:"), "decision", "Decision", True), (("decidimos ",), "decision", "Decision", False), (("constraint:", "restricción:"), "constraint", "Constraint", True),
+    (("fact:", "hecho:"), "fact", "Fact", True), (("journal:", "diario:"), "note", "Journal", True),
+)
+CAPTURE_INSIDE = (" must ", " never ", " siempre ", " nunca ")
+FIRST_PERSON = ("I ", "I'm ", "I've ", "I’m ", "Yo ", "Estoy ", "Pienso ", "Creo ")
 
 
 def captures(text: str | None) -> list[tuple[str, str]]:
-    """``(kind, line)`` of lines worth keeping; fences, quotes and indented code are passed over."""
-    out, fence = [], False
-    for line in (text or "").splitlines():
-        bare = line.strip()
-        if bare.startswith(("```", "~~~")):
-            fence = not fence
+    """``(kind, text)`` of the lines worth keeping of a text of at most 64 KiB.
+
+    Fences, quotes and indented code are passed over, and so are lines of fewer than 8 or more than 512 bytes, lines with
+    secrets or personal data, and journal lines that no one says of themselves.
+    """
+    if not text or len(text.encode()) > 65_536:
+        return []
+    out, fence = [], None
+    for raw in text.split("\n"):
+        raw = raw.removesuffix("\r")
+        bare = raw.lstrip()
+        mark = re.match(r"`+|~+", bare)
+        if fence:
+            if mark and mark.group()[0] == fence[0] and len(mark.group()) >= len(fence) and not bare[mark.end() :].strip():
+                fence = None
+            continue
+        if raw.startswith(("    ", "\t")) or bare.startswith(">"):
             continue
-        if fence or not bare or bare.startswith(">") or line.startswith(("    ", "\t")):
+        if mark and len(mark.group()) >= 3:
+            fence = mark.group()
             continue
-        low = bare.lstrip("-*•0123456789.) ").lower()
-        kind = next((k for k, marks in CAPTURE.items() if low.startswith(marks)), None)
-        if kind:
-            out.append((kind, bare))
+        line = raw.strip().lstrip("-* ").strip()
+        low = line.lower()
+        head = next((h for h in CAPTURE_HEADS if low.startswith(h[0])), None)
+        if head:
+            _, kind, name, cut = head
+            content = line.partition(":")[2].strip() if cut else line
+            if kind == "note" and not content.startswith(FIRST_PERSON):
+                continue
+        elif any(m in low for m in CAPTURE_INSIDE):
+            kind, name, content = "constraint", "Constraint", line
+        else:
+            continue
+        least, most = CAPTURE_BYTES
+        whole = f"{name}: {content}"
+        if least <= len(content.encode()) and len(whole.encode()) <= most and not has_secret(content) and not pii_kinds(content):
+            out.append((kind, whole))
     return out
 
 
@@ -311,35 +403,47 @@ def analyzer(fold: bool = False, stop: bool = False, stemmed: bool = False):
     return run
 
 
-def term_finder(terms: list[str], **filters: bool):
-    """An Arrow UDF: text -> struct<len, found: array<struct<term, pos>>> with the given terms only."""
-    wanted = frozenset(terms)
-
-    @F.pandas_udf(T.StructType([T.StructField("len", T.IntegerType()), T.StructField("found", TOKEN_LIST)]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        sizes, found = [], []
-        for t in texts:
-            if any(filters.values()):
-                e = analyze(t, **filters)
-                sizes.append(len(e))
-                found.append([{"term": a, "pos": p} for a, p in e if a in wanted])
-            else:  # nothing is made of the other words but their number
-                words = _words(t)
-                sizes.append(len(words) - sum(len(w) > MAX_TOKEN_BYTES // 4 and len(w.encode()) > MAX_TOKEN_BYTES for w in words))
-                found.append([{"term": w, "pos": i} for i, w in enumerate(words) if w in wanted])
-        return pd.DataFrame({"len": sizes, "found": found})
-
-    return run
-
-
-def terms_of(**filters: bool):
-    """An Arrow UDF: text -> its distinct terms."""
+def postings_of(texts: pa.Array, fold: bool = False, stop: bool = False, stemmed: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Postings of an array of texts: row of each, the number of tokens of every text, and term and positions of each posting.
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted({a for a, _ in analyze(t, **filters)}))
-
-    return run
+    The texts are looked at as one array of code points; only distinct words become strings.
+    """
+    normal = [unicodedata.normalize("NFKC", t).casefold() if not t.isascii() else t.casefold() for t in texts.fill_null("").to_pylist()]
+    whole = "".join(normal)
+    cps = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    offsets = np.append(0, np.cumsum([len(t) for t in normal])).astype(np.int64)
+    table = K.word_table()
+    kinds = table[0][cps]
+    starts = K.runs(kinds, offsets)
+    lengths = np.diff(np.append(starts, len(cps)))
+    word = kinds[starts] == 1 if len(starts) else np.empty(0, bool)
+    starts, lengths = starts[word], lengths[word]
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    first = np.searchsorted(owner, np.arange(len(normal)))
+    position = np.arange(len(owner)) - first[owner] if len(owner) else owner
+    ids, at, inverse = np.unique(K.hashes(cps, starts, lengths), return_index=True, return_inverse=True)
+    names: dict[str, int] = {}
+    number = np.empty(len(ids), np.int64)
+    for i, (a, n) in enumerate(zip(starts[at].tolist(), lengths[at].tolist())):
+        term = whole[a : a + n]
+        if n > MAX_TOKEN_BYTES // 4 and len(term.encode()) > MAX_TOKEN_BYTES:
+            number[i] = -1  # left out, its position stays empty
+            continue
+        if fold:
+            term = fold_ascii(term)
+        if stop and term in STOP_WORDS:
+            number[i] = -1
+            continue
+        number[i] = names.setdefault(stem(term) if stemmed else term, len(names))
+    term = number[inverse] if len(inverse) else inverse.astype(np.int64)
+    kept = term >= 0
+    owner, term, position = owner[kept], term[kept], position[kept]
+    order = np.argsort((owner << 32) | term, kind="stable")
+    owner, term, position = owner[order], term[order], position[order]
+    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (term[1:] != term[:-1]))) if len(owner) else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(owner)).astype(np.int32)), pa.array(position.astype(np.int32)))
+    words = pa.array(list(names), pa.string()).take(pa.array(term[new]))
+    return owner[new], np.bincount(owner, minlength=len(normal)), words, lists
 
 
 def spread(function, schema: T.DataType):

@@ -51,17 +51,36 @@ def q15(a: Column) -> Column:
     return F.transform(_d(a), lambda x: F.round(x * 32767).cast("bigint"))
 
 
+def _integer_root(x: Column) -> Column:
+    """The floored square root of a whole DECIMAL: the double's, put right by one where rounding went astray."""
+    about = F.floor(F.sqrt(x.cast("double"))).cast("decimal(18,0)")
+    one = F.lit(1).cast("decimal(1,0)")
+    return F.when(about * about > x, about - one).when((about + one) * (about + one) <= x, about + one).otherwise(about)
+
+
 def q15_cosine_nanos(a: Column, b: Column) -> Column:
-    """Cosine of integer vectors in billionths, from exact integer sums."""
+    """Cosine of integer vectors in billionths by whole numbers only: floored root, halves away from zero; null for a zero vector."""
     part = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    n = F.sqrt(part(a, a).cast("double")) * F.sqrt(part(b, b).cast("double"))
-    return F.when(n > 0, F.floor(part(a, b).cast("double") / n * 1e9 + 0.5).cast("bigint"))
+    norms = part(a, a).cast("decimal(18,0)") * part(b, b).cast("decimal(18,0)")
+    root, dot = _integer_root(norms).cast("decimal(19,0)"), part(a, b)
+    half = F.floor(root / 2).cast("decimal(19,0)")
+    # the dividend has up to 28 digits; the quotient of whole numbers is cut, not rounded
+    above = F.abs(dot).cast("decimal(18,0)") * F.lit(1_000_000_000).cast("decimal(10,0)") + half
+    nanos = F.least(((above - above % root) / root).cast("bigint"), F.lit(1_000_000_000))
+    return F.when(root > 0, F.when(dot < 0, -nanos).otherwise(nanos))
+
+
+def sq8_range(values: list[tuple[float, float]]) -> tuple[float, float]:
+    """The global range of training vectors from their least and greatest elements; a range of 0, or one that is not finite, is refused."""
+    low, high = min((v[0] for v in values), default=0.0), max((v[1] for v in values), default=0.0)
+    if not 0 < high - low < float("inf"):
+        raise ValueError("no range to quantize over")
+    return low, high
 
 
 def sq8(a: Column, low: float, high: float) -> Column:
     """8-bit codes over the global range."""
-    step = (high - low) / 255 or 1.0
-    return F.transform(_d(a), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round((x - low) / step).cast("int"))))
+    return F.transform(_d(a), lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round((x - low) / (high - low) * 255).cast("int"))))
 
 
 def sq8_squared_l2(a: Column, b: Column, low: float, high: float) -> Column:

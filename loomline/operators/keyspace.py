@@ -7,6 +7,10 @@ within partitions and streamed, so that a task holds the state of one key, not i
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,14 +30,32 @@ def last_write(log: DataFrame, keys: list[str], order: str, values: list[str]) -
     return log.groupBy(*keys).agg(*[F.max_by(F.col(v), F.col(order)).alias(v) for v in values])
 
 
-def counters(log: DataFrame, key: str, delta: str) -> DataFrame:
-    """Sums of increments; an error where one leaves 64 bits."""
-    total = F.sum(F.col(delta).cast("decimal(38,0)"))
-    summed = log.groupBy(key).agg(total.alias("_t"))
-    checked = F.when(F.col("_t").between(-I64, I64 - 1), F.col("_t").cast("bigint")).otherwise(F.raise_error(F.lit("counter overflow")).cast("bigint"))
+def counters(log: DataFrame, key: str, delta: str, order: str | None = None) -> DataFrame:
+    """Sums of increments; an error where one leaves 64 bits: the total, and with ``order`` every step on the way to it.
+
+    Steps are running sums of a key's sorted rows (which may spill); without an order, sums combine on the map side.
+    """
+    step = F.col(delta).cast("decimal(38,0)")
+    if order is None:
+        summed = log.groupBy(key).agg(F.sum(step).alias("_t"), F.sum(step).alias("_lo"), F.sum(step).alias("_hi"))
+    else:
+        running = F.sum(step).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        summed = log.select(key, order, step.alias("_d"), running.alias("_run")).groupBy(key).agg(F.sum("_d").alias("_t"), F.min("_run").alias("_lo"), F.max("_run").alias("_hi"))
+    inside = (F.col("_lo") >= F.lit(-I64)) & (F.col("_hi") <= F.lit(I64 - 1))
+    checked = F.when(inside, F.col("_t").cast("bigint")).otherwise(F.raise_error(F.lit("counter overflow")).cast("bigint"))
     return summed.select(key, checked.alias("value"))
 
 
+def due(df: DataFrame, expires: str, now: int, order: list[str], limit: int) -> DataFrame:
+    """The entries that a sweep of at most ``limit`` removes at a time: the longest expired first, ties by key."""
+    return df.filter(F.col(expires).isNotNull() & (F.col(expires) <= F.lit(now))).orderBy(expires, *order).limit(limit)
+
+
+def sweep(df: DataFrame, expires: str, now: int, keys: list[str], limit: int) -> DataFrame:
+    """The entries that are left after one sweep."""
+    return df.join(due(df, expires, now, keys, limit).select(*keys), keys, "left_anti")
+
+
 def ttl(df: DataFrame, expires: str, now: int) -> DataFrame:
     """``state`` (missing, persistent or remaining) and ``remaining`` microseconds."""
     e = F.col(expires)
@@ -42,11 +64,12 @@ def ttl(df: DataFrame, expires: str, now: int) -> DataFrame:
 
 
 def getrange(value: Column, start: int, end: int) -> Column:
-    """Bytes start..end, both inclusive, negative from the end, clamped."""
-    n = F.octet_length(value)
+    """Bytes start..end of a text or binary value, both inclusive, negative from the end, clamped: BINARY, for a cut may fall inside a character."""
+    raw = value.cast("binary")
+    n = F.octet_length(raw)
     a = F.greatest(F.lit(0), F.when(F.lit(start) < 0, n + start).otherwise(F.lit(start)))
     b = F.least(n - 1, F.when(F.lit(end) < 0, n + end).otherwise(F.lit(end)))
-    return F.when(a <= b, F.substring(value, a + 1, b - a + 1)).otherwise(F.substring(value, F.lit(1), F.lit(0)))
+    return F.when(a <= b, F.substring(raw, a + 1, b - a + 1)).otherwise(F.when(value.isNotNull(), F.lit(b"")))
 
 
 def lrange(items: Column, start: int, end: int) -> Column:
@@ -59,7 +82,7 @@ def lrange(items: Column, start: int, end: int) -> Column:
 
 def static_list(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Lists of pushed values in order of push. A list is one value; its size is the size of the structure read."""
-    return log.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("items"))
+    return log.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias("items"))
 
 
 def scan(df: DataFrame, order: list[str], after: list | None, limit: int, reverse: bool = False) -> DataFrame:
@@ -69,23 +92,36 @@ def scan(df: DataFrame, order: list[str], after: list | None, limit: int, revers
     return page(df, order, after, limit, reverse)
 
 
-def scan_match(df: DataFrame, order: list[str], member: str, pattern: bytes, after: list | None, output: int, visits: int) -> DataFrame:
-    """Members that match a glob, of at most ``visits`` visited after the cursor; ``last`` marks the last visited one.
+def scan_match(df: DataFrame, order: list[str], member: str, pattern: bytes, after: list | None, output: int, visits: int, expires: str | None = None, now: int = 0) -> DataFrame:
+    """Members that match a byte glob, of at most ``visits`` visited after the cursor; ``last`` marks the last visited one.
 
-    The continuation is the row marked ``last`` (matching or not), and there is none once all are visited.
+    The continuation is the row marked ``last`` (matching or not), and there is none once all are visited. An expired member costs
+    a visit and is no match. A pattern without wildcards is a point read. Names are compared byte by byte, each as a Latin-1 character.
     """
     from ..functions.text import glob_regex
 
+    if not set(pattern) & set(b"*?[\\"):
+        hit = df.filter(F.col(member).cast("binary") == F.lit(pattern))
+        hit = hit if expires is None else hit.filter(visible(F.col(expires), now))
+        return hit.withColumn("last", F.lit(False)).withColumn("match", F.lit(True))
     seen = scan(df, order, after, visits + 1)
     n = F.row_number().over(Window.orderBy(*order))
     rows = seen.withColumn("_n", n)
     more = F.count("*").over(Window.partitionBy(F.lit(1))) > visits
-    found = F.col(member).rlike("(?s)^" + glob_regex(pattern).pattern.decode("latin-1").replace("\\Z", "$"))
+    found = F.decode(F.col(member).cast("binary"), "ISO-8859-1").rlike("(?s)^" + glob_regex(pattern).pattern.decode("latin-1").replace("\\Z", "\\z"))
+    found = found if expires is None else found & visible(F.col(expires), now)
     marked = rows.withColumn("last", more & (F.col("_n") == visits)).filter(F.col("_n") <= visits).withColumn("match", found)
     kept = marked.withColumn("_m", F.sum(F.col("match").cast("int")).over(Window.orderBy("_n")))
     return kept.filter((F.col("match") & (F.col("_m") <= output)) | F.col("last")).drop("_n", "_m")
 
 
+def hash_get(fields: DataFrame, keys: list[str], field: str, value: str, wanted: list[str]) -> DataFrame:
+    """``keys, pos, field, value`` of the wanted fields of each hash, in the order and as often as they are asked for; null where there is none."""
+    hashes = fields.select(*keys).distinct()
+    asked = hashes.select(*keys, F.posexplode(F.array(*[F.lit(w) for w in wanted])).alias("pos", field))
+    return asked.join(fields.select(*keys, field, value), [*keys, field], "left").select(*keys, "pos", field, value)
+
+
 def ranked(df: DataFrame, key: str, score: str, member: str, reverse: bool = False) -> DataFrame:
     """``rank``, from 0, by score then member."""
     order = [F.desc(score), F.desc(member)] if reverse else [F.col(score), F.col(member)]
@@ -135,13 +171,28 @@ def xadd(log: DataFrame, key: str, order: str) -> DataFrame:
     return log.withColumn("id", F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
 
+# The families of structures, and the operations of each.
+FAMILIES = {
+    "string": "set setnx setxx get getrange append setrange incrby",
+    "hash": "hset hsetnx hget hdel hlen hincrby hexpire httl hmset hmget hmdel",
+    "list": "lpush rpush lpop rpop llen lrange",
+    "set": "sadd srem sismember smismember scard spop srandmember",
+    "zset": "zadd zrem zincrby zpopmin zpopmax zscore zcard zrank zrevrank",
+    "stream": "xadd xlen",
+}
+_FAMILY = {op: family for family, ops in FAMILIES.items() for op in ops.split()}
+
+
 def replay(log: DataFrame, now_column: str = "at") -> DataFrame:
     """Replays ``key, seq, op, arg, value, at`` and gives ``key, seq, changed, result`` of every operation.
 
-    Operations: set, setnx, setxx, get, del, append, setrange (arg = offset), incrby, expire (value = time),
-    lpush, rpush, lpop, rpop, llen, hset, hsetnx, hincrby, hdel, hget (arg = field), sadd, srem, sismember, scard,
-    zadd, zincrby (arg = member), zpopmin, zpopmax, zscore. ``at`` is the logical time. A key in use by another
-    family answers 'wrongtype' and changes nothing; a null key is an error of the log and is left out.
+    Operations: those of ``FAMILIES``, and create and drop (arg = family), del, expire (value = time) and ttl. ``arg`` is the
+    field, member, offset or range ('start:end'), ``value`` the text, number, time or seed; hm... and smismember take JSON arrays. ``at`` is the
+    logical time. Every family but strings is created before use: an operation on a key that is not there answers 'missing', one on a
+    key of another family 'wrongtype', and a number that is none or leaves its range an error text; none of them changes anything.
+    Texts are bytes: lengths and offsets count those. A null key is an error of the log and is left out.
+
+    The order of a key's operations is sequential by nature: its rows are sorted, and may spill, and one task holds its state, not its log.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,111 +210,260 @@ def replay(log: DataFrame, now_column: str = "at") -> DataFrame:
     return columns.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, "key string, seq bigint, changed boolean, result string")
 
 
+Answer = tuple[bool, str | None]
+
+
+def _whole(text: str | bytes | None) -> int | None:
+    """A canonical decimal of 64 bits, or null."""
+    try:
+        n = int(text or 0)
+    except ValueError:
+        return None
+    written = text.decode() if isinstance(text, bytes) else text
+    return n if -I64 <= n < I64 and (not written or str(n) == written) else None
+
+
+def _span(n: int, start: int, end: int) -> range:
+    """Places start..end of n, both inclusive, negative from the end, clamped."""
+    a, b = (x + n if x < 0 else x for x in (start, end))
+    return range(max(0, a), min(n - 1, b) + 1)
+
+
+class _Last:
+    """Orders the other way round, for a heap of the greatest."""
+
+    def __init__(self, v: tuple[float, bytes]) -> None:
+        self.v = v
+
+    def __lt__(self, other: _Last) -> bool:
+        return other.v < self.v
+
+
+class Scores:
+    """A sorted set: scores by member, and heaps in which outdated entries are passed over when they come up."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, float] = {}
+        self.low: list[tuple[float, bytes]] = []
+        self.high: list[_Last] = []
+
+    def put(self, member: str, score: float) -> None:
+        self.of[member] = score
+        entry = (score, member.encode())
+        heapq.heappush(self.low, entry)
+        heapq.heappush(self.high, _Last(entry))
+
+    def pop(self, least: bool) -> tuple[str, float] | None:
+        while self.of:
+            score, name = heapq.heappop(self.low) if least else heapq.heappop(self.high).v
+            member = name.decode()
+            if self.of.get(member) == score:
+                return member, self.of.pop(member)
+        return None
+
+    def rank(self, member: str) -> int:
+        own = (self.of[member], member.encode())
+        return sum((s, m.encode()) < own for m, s in self.of.items())
+
+
 class Key:
     """The state of one key."""
 
     def __init__(self) -> None:
         self.family, self.value, self.expires = None, None, None
+        self.due: dict[str, int] = {}
 
-    def apply(self, op: str, arg: str | None, value: str | None, now: int) -> tuple[bool, str | None]:
+    def apply(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
         if self.family and self.expires is not None and self.expires <= now:
             self.__init__()
-        if op == "del":
-            there = self.family is not None
-            self.__init__()
+        if op in ("del", "drop"):
+            there = self.family is not None and op == "del" or self.family == arg is not None
+            if there:
+                self.__init__()
             return there, None
+        if op == "create":
+            if self.family or arg not in FAMILIES or arg == "string":
+                return False, "wrongtype" if self.family not in (None, arg) else None
+            self.family = arg
+            self.value = {"hash": dict, "list": deque, "set": list, "zset": Scores, "stream": list}[arg]()
+            return True, None
         if op == "expire":
             if self.family is None:
                 return False, None
             self.expires = int(value)
             return True, None
-        family = "s" if op in ("set", "setnx", "setxx", "get", "append", "setrange", "incrby") else {"l": "l", "r": "l", "h": "h", "s": "set", "z": "z"}[op[0]]
+        if op == "ttl":
+            return False, "missing" if self.family is None else self._left(self.expires, now)
+        family = _FAMILY[op]
         if self.family not in (None, family) and op != "set":
             return False, "wrongtype"
-        before = self.family
-        changed, result = getattr(self, "_" + family)(op, arg, value)
-        if before is None and op not in ("set", "setnx", "setxx"):
-            self.family, self.value = (family, self.value) if changed else (None, None)
-        return changed, result
-
-    def _s(self, op, arg, value):
-        there = self.family == "s"
+        if self.family is None and family != "string":
+            return False, "missing"
+        return getattr(self, "_" + family)(op, arg, value, now)
+
+    @staticmethod
+    def _left(expires: int | None, now: int) -> str:
+        return "persistent" if expires is None else str(expires - now)
+
+    def _string(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
+        there, raw = self.family == "string", (value or "").encode()
         if op == "get":
-            return False, self.value if there else None
-        if op in ("setnx", "setxx") and there == (op == "setnx"):
-            return False, None
+            return False, self.value.decode("utf-8", "replace") if there else None
+        if op == "getrange":
+            a, b = map(int, arg.split(":"))
+            places = _span(len(self.value), a, b) if there else range(0)
+            return False, self.value[places.start : places.stop].decode("utf-8", "replace") if there else None
         if op in ("set", "setnx", "setxx"):
-            self.family, self.value, self.expires = "s", value, None
+            if op != "set" and there == (op == "setnx"):
+                return False, None
+            self.family, self.value, self.expires = "string", raw, None
             return True, None
+        old = self.value if there else b""
         if op == "append":
-            self.value = (self.value or "") + (value or "")
-            return True, str(len(self.value))
-        if op == "setrange":
-            old = (self.value or "").ljust(int(arg), "\0")
-            self.value = old[: int(arg)] + (value or "") + old[int(arg) + len(value or "") :]
-            return True, str(len(self.value))
-        try:
-            total = int(self.value or 0) + int(value)
-        except ValueError:
-            return False, "not an integer"
-        if not -I64 <= total < I64:
-            return False, "overflow"
-        self.value = str(total)
-        return True, self.value
-
-    def _l(self, op, arg, value):
-        items = self.value if self.value is not None else []
+            new = old + raw
+        elif op == "setrange":
+            at = int(arg)
+            padded = old.ljust(at, b"\0")
+            new = padded[:at] + raw + padded[at + len(raw) :]
+        else:
+            held, step = _whole(old), _whole(value)
+            if held is None or step is None:
+                return False, "not an integer"
+            if not -I64 <= held + step < I64:
+                return False, "overflow"
+            new = str(held + step).encode()
+        if len(new) > 8 << 20:
+            return False, "too long"
+        self.family, self.value = "string", new
+        return True, new.decode() if op == "incrby" else str(len(new))
+
+    def _list(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
+        items = self.value
         if op == "llen":
             return False, str(len(items))
+        if op == "lrange":
+            places = _span(len(items), *map(int, arg.split(":")))
+            return False, json.dumps([items[i] for i in places], ensure_ascii=False)
         if op.endswith("push"):
-            items.insert(0 if op[0] == "l" else len(items), value)
-            self.value = items
+            (items.appendleft if op[0] == "l" else items.append)(value)
             return True, str(len(items))
         if not items:
             return False, None
-        return True, items.pop(0 if op[0] == "l" else -1)
-
-    def _h(self, op, arg, value):
-        fields = self.value if self.value is not None else {}
+        return True, items.popleft() if op[0] == "l" else items.pop()
+
+    def _field(self, name: str, now: int) -> str | None:
+        """The value of a live field; an expired one goes when it is met."""
+        if self.due.get(name, now + 1) <= now:
+            del self.due[name]
+            self.value.pop(name, None)
+        return self.value.get(name)
+
+    def _put(self, name: str, value: str | None) -> None:
+        self.due.pop(name, None)
+        self.value[name] = value
+
+    def _hash(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
+        if op == "hlen":
+            return False, str(sum(self.due.get(f, now + 1) > now for f in self.value))
+        if op in ("hmset", "hmget", "hmdel"):
+            names = json.loads(arg)
+            if op == "hmget":
+                return False, json.dumps([self._field(f, now) for f in names], ensure_ascii=False)
+            if len(set(names)) < len(names):
+                return False, "duplicate field"
+            for f in names:
+                self._field(f, now)
+            there = sum(f in self.value for f in names)
+            for i, f in enumerate(names):
+                if op == "hmset":
+                    self._put(f, json.loads(value)[i])
+                else:
+                    self.value.pop(f, None)
+                    self.due.pop(f, None)
+            return (True, str(len(names) - there)) if op == "hmset" else (there > 0, str(there))
+        held = self._field(arg, now)
+        there = arg in self.value
         if op == "hget":
-            return False, fields.get(arg)
+            return False, held
+        if op == "httl":
+            return False, self._left(self.due.get(arg), now) if there else "missing"
+        if op == "hexpire":
+            if there:
+                self.due[arg] = int(value)
+            return there, None
         if op == "hdel":
-            return fields.pop(arg, None) is not None, None
-        if op == "hsetnx" and arg in fields:
+            self.due.pop(arg, None)
+            self.value.pop(arg, None)
+            return there, None
+        if op == "hsetnx" and there:
             return False, None
         if op == "hincrby":
-            total = int(fields.get(arg, 0)) + int(value)
-            if not -I64 <= total < I64:
+            base, step = _whole(held), _whole(value)
+            if base is None or step is None:
+                return False, "not an integer"
+            if not -I64 <= base + step < I64:
                 return False, "overflow"
-            value = str(total)
-        fields[arg] = value
-        self.value = fields
-        return True, value if op == "hincrby" else None
+            value = str(base + step)
+        self._put(arg, value)
+        return True, value if op == "hincrby" else str(int(not there)) if op == "hset" else None
 
-    def _set(self, op, arg, value):
-        members = self.value if self.value is not None else set()
+    def _set(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
+        """Members are kept as a list of bytes in order, so that a rank is a place."""
+        members = self.value
         if op == "scard":
             return False, str(len(members))
+        if op in ("spop", "srandmember"):
+            if not members:
+                return False, None if op == "spop" else "[]"
+            first = splitmix64(int(value)) % len(members)
+            if op == "spop":
+                return True, members.pop(first).decode()
+            count = min(int(arg), len(members))
+            return False, json.dumps([members[(first + i) % len(members)].decode() for i in range(count)], ensure_ascii=False)
+        if op == "smismember":
+            held = set(members)
+            return False, json.dumps([int(m.encode() in held) for m in json.loads(value)])
+        raw = value.encode()
+        at = bisect.bisect_left(members, raw)
+        there = at < len(members) and members[at] == raw
         if op == "sismember":
-            return False, str(int(value in members))
-        changed = (value in members) == (op == "srem")
-        (members.add if op == "sadd" else members.discard)(value)
-        self.value = members
-        return changed, None
-
-    def _z(self, op, arg, value):
-        scores = self.value if self.value is not None else {}
+            return False, str(int(there))
+        if there == (op == "sadd"):
+            return False, None
+        if op == "sadd":
+            members.insert(at, raw)
+        else:
+            del members[at]
+        return True, None
+
+    def _zset(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
+        scores: Scores = self.value
+        held = scores.of.get(arg)
+        if op == "zcard":
+            return False, str(len(scores.of))
         if op == "zscore":
-            return False, repr(scores[arg]) if arg in scores else None
+            return False, None if held is None else repr(held)
+        if op in ("zrank", "zrevrank"):
+            rank = None if held is None else scores.rank(arg)
+            return False, None if rank is None else str(rank if op == "zrank" else len(scores.of) - 1 - rank)
+        if op == "zrem":
+            return scores.of.pop(arg, None) is not None, None
         if op in ("zadd", "zincrby"):
-            score = float(value) + (scores.get(arg, 0.0) if op == "zincrby" else 0.0)
+            score = float(value) + (held or 0.0 if op == "zincrby" else 0.0)
             if score != score or (op == "zincrby" and score in (float("inf"), float("-inf"))):
                 return False, "not a number"
-            changed = scores.get(arg) != score
-            scores[arg] = score + 0.0
-            self.value = scores
-            return changed, repr(scores[arg]) if op == "zincrby" else None
-        if not scores:
-            return False, None
-        member = (min if op == "zpopmin" else max)(scores, key=lambda m: (scores[m], m.encode()))
-        return True, f"{member}={scores.pop(member)!r}"
+            if held != score:
+                scores.put(arg, score + 0.0)
+            return held != score, repr(score + 0.0) if op == "zincrby" else None
+        got = scores.pop(op == "zpopmin")
+        return (True, f"{got[0]}={got[1]!r}") if got else (False, None)
+
+    def _stream(self, op: str, arg: str | None, value: str | None, now: int) -> Answer:
+        """Entries count from 1; the fields of one (a JSON array) are at least one, each once."""
+        if op == "xlen":
+            return False, str(len(self.value))
+        names = json.loads(arg or "[]")
+        if not names or len(set(names)) < len(names):
+            return False, "duplicate field" if names else "no field"
+        self.value.append((names, value))
+        return True, str(len(self.value))

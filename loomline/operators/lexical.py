@@ -1,98 +1,171 @@
-"""Full-text search: postings, BM25 and BM25F, expansion, phrases and compound queries.
+"""Full-text search: stored postings, BM25 and BM25F, expansion, phrases and compound queries.
 
-Postings are an ordinary table ``doc, term, tf, positions, len``; one explode and one aggregate over the corpus make them, and
-queries keep only the terms they need of each document, so that scoring needs no shuffle.
+An index is written once: ``postings`` (doc, field, term, tf, positions, len), in files sorted by term, so that a query's filter on
+terms reads only the row groups that hold them, and ``terms`` (term, df). Each text is analysed once, for the index;
+queries never see it again. A row of the empty term stands for every document and field, and holds its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernel as K
 from ..functions import text as X
+from ..sources.tables import folder
 
 EXPANDED = 64
 
 
-def _is(term: str):
-    return lambda x: x["term"] == term
+def postings(docs: DataFrame, key: str, fields: list[str], **filters: bool) -> DataFrame:
+    """``doc, field, term, tf, positions, len``: one row per document, field and term, and one of the empty term. No shuffle."""
+    kind = docs.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in range(len(fields)):
+                for a, b in K.slices(batch.column(1 + number)):
+                    keys, texts = batch.column(0).slice(a, b - a), batch.column(1 + number).slice(a, b - a)
+                    row, sizes, words, lists = X.postings_of(texts, **filters)
+                    every = np.arange(len(texts))
+                    owner = np.concatenate([every, row])
+                    term = pa.concat_arrays([pa.array([""] * len(texts), pa.string()), words])
+                    at = np.append(np.zeros(len(texts), np.int32), lists.offsets.to_numpy())
+                    positions = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), lists.values)
+                    columns = [keys.take(pa.array(owner)), pa.array(np.full(len(owner), number, np.int32)), term, pa.array(np.diff(at).astype(np.int32)), positions, pa.array(sizes[owner].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "field", "term", "tf", "positions", "len"])
 
-def _from(place: int):
-    return lambda x: x["pos"] - place
+    return docs.select(key, *fields).mapInArrow(run, f"doc {kind}, field int, term string, tf int, positions array<int>, len int")
 
 
-def postings(docs: DataFrame, key: str, text: str, **filters: bool) -> DataFrame:
-    """``doc, term, tf, positions, len``: one row per document and term. No shuffle: the terms of a document are grouped in the row."""
-    spread = docs.select(F.col(key).alias("doc"), X.analyzer(**filters)(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    terms = spread.select("doc", "len", "_t", F.explode(F.array_distinct(F.col("_t.term"))).alias("term"))
-    positions = F.transform(F.filter("_t", lambda x: x["term"] == F.col("term")), lambda x: x["pos"])
-    return terms.select("doc", "term", positions.alias("positions"), "len").withColumn("tf", F.size("positions"))
+@dataclass
+class Index:
+    """A stored index, and what its queries need to know of it."""
 
+    spark: SparkSession
+    path: str
+    fields: list[str]
+    filters: dict[str, bool]
+    known: dict = field(default_factory=dict)
 
-def query_postings(docs: DataFrame, key: str, text: str, terms: list[str], **filters: bool) -> DataFrame:
-    """Postings of the given terms only: documents are counted, other terms never become rows."""
-    found = docs.select(F.col(key).alias("doc"), X.term_finder(terms, **filters)(F.col(text)).alias("_f"))
-    return found.select("doc", F.col("_f.len").alias("len"), F.col("_f.found").alias("_t"))
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
 
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
 
-def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75, minimum: int = 1, distinct: bool = True, **filters: bool) -> DataFrame:
+    @property
+    def documents(self) -> DataFrame:
+        """``doc, field, len`` of every document."""
+        return self.postings.filter("term = ''").select("doc", "field", "len")
+
+    def counts(self) -> tuple[int, list[float]]:
+        """The number of documents, and the mean length of every field: one row per field reaches the driver."""
+        if "counts" not in self.known:
+            rows = {r["field"]: (r["n"], r["avg"]) for r in self.documents.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("avg")).collect()}
+            self.known["counts"] = (rows.get(0, (0, 0))[0], [rows.get(f, (0, 1.0))[1] or 1.0 for f in range(len(self.fields))])
+        return self.known["counts"]
+
+    def df(self, terms: list[str]) -> dict[str, int]:
+        """In how many documents each of the terms stands."""
+        return {t: 0 for t in terms} | {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(terms)).collect()}
+
+    def of(self, terms: list[str]) -> DataFrame:
+        return self.postings.filter(F.col("term").isin(terms))
+
+    def analyze(self, query: str) -> list[str]:
+        return [t for t, _ in X.analyze(query, **self.filters)]
+
+
+def index(docs: DataFrame, key: str, text: str | list[str], path: str | None = None, **filters: bool) -> Index:
+    """Analyse the documents once and store the index at ``path`` (a new folder beside the intermediate tables unless given).
+
+    Rows are spread by term, and a term that is too frequent for one task by rebalancing; files are sorted by term. A document
+    given twice is counted twice; null and empty texts are documents without terms.
+    """
+    fields = [text] if isinstance(text, str) else list(text)
+    spark, path = docs.sparkSession, path or folder(docs.sparkSession)
+    rows = postings(docs, key, fields, **filters).hint("rebalance", "term").sortWithinPartitions("term", "doc")
+    rows.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    made = Index(spark, path, fields, filters)
+    found = made.postings.filter("term <> ''")
+    count = F.count("*") if len(fields) == 1 else F.count_distinct("doc")
+    found.groupBy("term").agg(count.alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    return made
+
+
+def idf(n: int, df: int) -> float:
+    return log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25(ix: Index, query: str, k1: float = 1.2, b: float = 0.75, minimum: int = 1, distinct: bool = True) -> DataFrame:
     """``doc, score, matched`` of documents with at least ``minimum`` of the query's terms (all of them: AND).
 
     Terms are added in their order, so that the sum does not depend on the partitioning.
     """
-    terms = [t for t, _ in X.analyze(query, **filters)]
-    weights = {t: (1 if distinct else terms.count(t)) for t in sorted(set(terms))}
-    return score_terms(docs, key, text, weights, k1, b, minimum, **filters)
+    terms = ix.analyze(query)
+    return score_terms(ix, {t: (1 if distinct else terms.count(t)) for t in sorted(set(terms))}, k1, b, minimum)
+
 
+def _wide(ix: Index, terms: list[str], more: list[Column], field: int = 0) -> DataFrame:
+    """One row per document that has any of the terms, with ``tf0, tf1, ...``."""
+    each = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    return ix.of(terms).filter(F.col("field") == field).groupBy("doc").agg(F.max("len").alias("len"), *each, *more)
 
-def score_terms(docs: DataFrame, key: str, text: str, weights: dict[str, int], k1: float = 1.2, b: float = 0.75, minimum: int = 1, **filters: bool) -> DataFrame:
+
+def score_terms(ix: Index, weights: dict[str, int], k1: float = 1.2, b: float = 0.75, minimum: int = 1) -> DataFrame:
     terms = sorted(weights)
     if not terms:
-        return docs.select(F.col(key).alias("doc"), F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
-    rows = query_postings(docs, key, text, terms, **filters)
-    tf = [F.size(F.filter("_t", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    wide = rows.select("doc", "len", *tf)
-    # one pass of counts reaches the driver: a single row of as many columns as the query has terms
-    stats = wide.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))]).first()
-    joined = wide.filter(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
+        return ix.documents.select("doc", F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
+    (n, mean), df = ix.counts(), ix.df(terms)
     score, matched = F.lit(0.0), F.lit(0)
     for i, t in enumerate(terms):
-        df, f = stats[f"df{i}"] or 0, F.col(f"tf{i}").cast("double")
-        idf = log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
-        part = F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg"] or 1.0)))
+        f = F.col(f"tf{i}").cast("double")
+        part = F.lit(idf(n, df[t])) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.lit(mean[0])))
         score = score + F.when(f > 0, part * weights[t]).otherwise(0.0)
-        matched = matched + (f > 0).cast("int")
-    return joined.select("doc", score.alias("score"), matched.alias("matched")).filter(F.col("matched") >= minimum)
-
-
-def bm25f(docs: DataFrame, key: str, fields: dict[str, int], query: str, k1: float = 1.2, b: float = 0.75, **filters: bool) -> DataFrame:
-    """``doc, score_nanos``: per-field weights in millionths, normalised frequencies summed, each term rounded to billionths."""
-    terms = sorted({t for t, _ in X.analyze(query, **filters)})
-    columns = []
-    for f in fields:
-        columns.append(X.term_finder(terms, **filters)(F.col(f)).alias(f"_{f}"))
-    rows = docs.select(F.col(key).alias("doc"), *columns)
-    flat = rows.select("doc", *[F.col(f"_{f}.len").alias(f"len_{f}") for f in fields], *[F.size(F.filter(f"_{f}.found", _is(t))).alias(f"tf_{f}_{i}") for f in fields for i, t in enumerate(terms)])
-    anywhere = [reduce(lambda x, y: x | y, [F.col(f"tf_{f}_{i}") > 0 for f in fields]) for i in range(len(terms))]
-    stats = flat.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.sum(a.cast("bigint")).alias(f"df{i}") for i, a in enumerate(anywhere)]).first()
-    wide = flat.filter(reduce(lambda x, y: x | y, anywhere))
-    total: Column = F.lit(0).cast("bigint")
-    for i in range(len(terms)):
+        matched = matched + F.when(f > 0, 1).otherwise(0)
+    return _wide(ix, terms, []).select("doc", score.alias("score"), matched.alias("matched")).filter(F.col("matched") >= minimum)
+
+
+def bm25f(ix: Index, weights: dict[str, int], query: str, k1: float = 1.2, b: float = 0.75, explain: bool = False) -> DataFrame:
+    """``doc, score_nanos``: per-field weights in millionths, normalised frequencies summed, each term rounded to billionths.
+
+    ``explain`` adds ``terms``, an array of ``term, df, score_nanos`` of the terms a document has.
+    """
+    terms = sorted(set(ix.analyze(query)))
+    if not terms:
+        return ix.documents.select("doc", F.lit(0).cast("bigint").alias("score_nanos")).limit(0)
+    (n, mean), df = ix.counts(), ix.df(terms)
+    number = {f: i for i, f in enumerate(ix.fields)}
+    named = {(f, i): F.when((F.col("field") == number[f]) & (F.col("term") == t), F.struct("tf", "len")) for f in weights for i, t in enumerate(terms)}
+    wide = ix.of(terms).groupBy("doc").agg(*[F.max(c).alias(f"x_{number[f]}_{i}") for (f, i), c in named.items()])
+    total, parts = F.lit(0).cast("bigint"), []
+    for i, t in enumerate(terms):
         tf = F.lit(0.0)
-        for f, w in fields.items():
-            tf = tf + F.when(F.col(f"tf_{f}_{i}") > 0, w / 1e6 * F.col(f"tf_{f}_{i}") / (1 - b + b * F.col(f"len_{f}") / F.lit(stats[f"avg_{f}"] or 1.0))).otherwise(0.0)
-        df = stats[f"df{i}"] or 0
-        idf = log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
-        total = total + F.round(F.lit(idf) * tf * (k1 + 1) / (tf + k1) * 1e9).cast("bigint")
-    return wide.select("doc", total.alias("score_nanos"))
+        for f, w in weights.items():
+            x = F.col(f"x_{number[f]}_{i}")
+            tf = tf + F.when(x.isNotNull(), w / 1e6 * x["tf"] / (1 - b + b * x["len"] / F.lit(mean[number[f]]))).otherwise(0.0)
+        nanos = F.round(F.lit(idf(n, df[t])) * tf * (k1 + 1) / (tf + k1) * 1e9).cast("bigint")
+        total = total + nanos
+        parts.append(F.when(tf > 0, F.struct(F.lit(t).alias("term"), F.lit(df[t]).alias("df"), nanos.alias("score_nanos"))))
+    scored = wide.select("doc", total.alias("score_nanos"), *([F.array_compact(F.array(*parts)).alias("terms")] if explain else []))
+    return scored.filter("score_nanos > 0")
 
 
-def vocabulary(docs: DataFrame, text: str, **filters: bool) -> DataFrame:
-    return docs.select(F.explode(X.terms_of(**filters)(F.col(text))).alias("term")).distinct()
+def bm25f_retrieve(ix: Index, weights: dict[str, int], query: str, limit: int) -> DataFrame:
+    """``outcome, doc, score_nanos, terms``: the best documents with explanations, or one row ``no_candidates``."""
+    top = bm25f(ix, weights, query, explain=True).orderBy(F.desc("score_nanos"), "doc").limit(limit)
+    found = top.select(F.lit("match").alias("outcome"), *top.columns)
+    return found if found.limit(1).count() else ix.spark.createDataFrame([("no_candidates",)], "outcome string").join(found.drop("outcome"), F.lit(True), "left")
 
 
 def expand(found: DataFrame) -> list[str]:
@@ -103,60 +176,107 @@ def expand(found: DataFrame) -> list[str]:
     return terms
 
 
-def prefix_terms(vocab: DataFrame, query: str) -> list[str]:
+def prefix_terms(ix: Index, query: str) -> list[str]:
     """The query's terms, the last one as every indexed term that starts with it."""
-    terms = [t for t, _ in X.analyze(query)]
-    return sorted({*terms[:-1], *expand(vocab.filter(F.col("term").startswith(terms[-1])))})
+    terms = ix.analyze(query)
+    return sorted({*terms[:-1], *expand(ix.terms.filter(F.col("term").startswith(terms[-1])))}) if terms else []
 
 
-def fuzzy_terms(vocab: DataFrame, query: str, distance: int) -> list[str]:
-    """Indexed terms within the edit distance (1 or 2) of any term of the query."""
+def _near(term: str, distance: int) -> Column:
     if distance not in (1, 2):
         raise ValueError("a distance of 1 or 2")
-    near = reduce(lambda a, b: a | b, [F.levenshtein(F.col("term"), F.lit(t), distance) >= 0 for t, _ in X.analyze(query)])
-    return expand(vocab.filter(near))
+    # a term of a length that differs by more is no match, and its distance need not be computed
+    return F.length("term").between(len(term) - distance, len(term) + distance) & (F.levenshtein(F.col("term"), F.lit(term), distance) >= 0)
+
+
+def fuzzy_terms(ix: Index, query: str, distance: int) -> list[str]:
+    """Indexed terms within the edit distance (1 or 2) of any term of the query."""
+    terms = ix.analyze(query)
+    return expand(ix.terms.filter(reduce(lambda a, b: a | b, [_near(t, distance) for t in terms]))) if terms else []
+
 
+def _less(i: int):
+    return lambda x: x - i
 
-def phrase(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+
+def _in_order(places: list[Column]) -> Column:
+    """Whether the positions of the terms follow each other."""
+    shifted = [F.transform(p, _less(i)) for i, p in enumerate(places)]
+    return F.coalesce(F.size(reduce(F.array_intersect, shifted)) > 0, F.lit(False))
+
+
+def phrase(ix: Index, query: str) -> DataFrame:
     """``doc``: documents with the query's terms at consecutive positions."""
-    terms = [t for t, _ in X.analyze(query)]
-    rows = query_postings(docs, key, text, sorted(set(terms)))
-    at = [F.transform(F.filter("_t", _is(t)), _from(i)) for i, t in enumerate(terms)]
-    return rows.filter(F.size(reduce(F.array_intersect, at)) > 0).select("doc")
+    terms = ix.analyze(query)
+    if not terms:
+        return ix.documents.select("doc").limit(0)
+    every = sorted(set(terms))
+    wide = _wide(ix, every, [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(every)])
+    return wide.filter(_in_order([F.col(f"p{every.index(t)}") for t in terms])).select("doc")
 
 
-def compound(docs: DataFrame, key: str, text: str, query: dict, vocab: DataFrame | None = None) -> DataFrame:
+def best_chunk(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """``parent, score`` of ``doc, score`` and ``doc, parent``: a parent ranks by its best chunk."""
+    return hits.join(parents, "doc").groupBy("parent").agg(F.max("score").alias("score"))
+
+
+def compound(ix: Index, query: dict) -> DataFrame:
     """``doc, score``: a tree of term, phrase, prefix, fuzzy and boolean (must, should, must_not) clauses.
 
-    Each matched leaf scores 1 however often it occurs; ``should`` is required only where there is no ``must``.
+    Each matched leaf scores 1 however often it occurs; ``should`` is required only where there is no ``must``. Depth of at most 8, 64 clauses.
     """
-    tokens = docs.select(F.col(key).alias("doc"), X.analyzer()(F.col(text)).alias("_t"))
+    leaves: list[tuple[str, list[str] | str, int]] = []
 
-    def has(term: str) -> Column:
-        return F.exists("_t", lambda x: x["term"] == term)
-
-    def build(node: dict, depth: int = 0) -> tuple[Column, Column]:
-        if depth > 8:
-            raise ValueError("a depth of at most 8")
+    def build(node: dict, depth: int) -> tuple:
         (kind, v), = node.items()
+        if depth > 8 or len(leaves) > 64:
+            raise ValueError("a depth of at most 8, and 64 clauses")
         if kind == "boolean":
-            must, should, bad = ([build(n, depth + 1) for n in v.get(k, [])] for k in ("must", "should", "must_not"))
-            match = reduce(lambda a, b: a & b, [m for m, _ in must], F.lit(True))
-            if not must and should:
-                match = reduce(lambda a, b: a | b, [m for m, _ in should])
-            match = reduce(lambda a, b: a & b, [~m for m, _ in bad], match)
-            score = reduce(lambda a, b: a + b, [s for _, s in must + should], F.lit(0))
-            return match, F.when(match, score).otherwise(F.lit(0))
-        if kind == "term":
-            match = has(X.analyze(v)[0][0])
-        elif kind == "prefix":
-            match = F.exists("_t", lambda x: F.startswith(x["term"], F.lit(X.analyze(v)[0][0])))
-        elif kind == "fuzzy":
-            match = F.exists("_t", lambda x: F.levenshtein(x["term"], F.lit(X.analyze(v["term"])[0][0]), v.get("distance", 1)) >= 0)
+            return kind, *[[build(n, depth + 1) for n in v.get(part, [])] for part in ("must", "should", "must_not")]
+        terms = ix.analyze(v["term"] if kind == "fuzzy" else v)
+        if not terms:
+            raise ValueError("a clause without a term")
+        leaves.append((kind, terms if kind == "phrase" else terms[0], v.get("distance", 1) if kind == "fuzzy" else 0))
+        return "leaf", len(leaves) - 1
+
+    tree = build(query, 1)
+
+    def value(node: tuple, leaf, true, both, either, no):
+        """Whether a node matches, over columns or over plain values."""
+        if node[0] == "leaf":
+            return leaf(node[1])
+        must, should, bad = ([value(n, leaf, true, both, either, no) for n in part] for part in node[1:])
+        out = reduce(both, must, true)
+        if not must and should:
+            out = reduce(either, should)
+        return reduce(both, [no(b) for b in bad], out)
+
+    flag = lambda i: F.coalesce(F.col(f"m{i}"), F.lit(False))
+    columns = (flag, F.lit(True), lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a)
+
+    def score(node: tuple) -> Column:
+        if node[0] == "leaf":
+            return flag(node[1]).cast("int")
+        parts = reduce(lambda a, b: a + b, [score(n) for n in node[1] + node[2]], F.lit(0))
+        return F.when(value(node, *columns), parts).otherwise(F.lit(0))
+
+    wanted, tests = F.lit(False), []
+    for kind, v, distance in leaves:
+        if kind == "phrase":
+            test = None
+            wanted = wanted | F.col("term").isin(sorted(set(v)))
         else:
-            at = [F.transform(F.filter("_t", _is(t)), _from(i)) for i, (t, _) in enumerate(X.analyze(v))]
-            match = F.size(reduce(F.array_intersect, at)) > 0
-        return match, match.cast("int")
-
-    match, score = build(query)
-    return tokens.filter(match).select("doc", score.cast("double").alias("score"))
+            test = F.col("term") == v if kind == "term" else F.col("term").startswith(v) if kind == "prefix" else _near(v, distance)
+            test = test & (F.col("term") != "")
+            wanted = wanted | test
+        tests.append(test)
+    if value(tree, lambda i: False, True, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a):
+        wanted = wanted | (F.col("term") == "")  # documents without any of the leaves match too
+    parts = sorted({t for kind, v, _ in leaves if kind == "phrase" for t in v})
+    aggregates = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(parts)]
+    aggregates += [F.max(test).alias(f"m{i}") for i, test in enumerate(tests) if test is not None]
+    wide = ix.postings.filter(wanted & (F.col("field") == 0)).groupBy("doc").agg(F.count("*").alias("_rows"), *aggregates)
+    for i, (kind, v, _) in enumerate(leaves):
+        if kind == "phrase":
+            wide = wide.withColumn(f"m{i}", _in_order([F.col(f"p{parts.index(t)}") for t in v]))
+    return wide.filter(value(tree, *columns)).select("doc", score(tree).cast("double").alias("score"))

@@ -53,10 +53,18 @@ def guarded(df: DataFrame, budget: int) -> DataFrame:
     return df
 
 
-def distinct_first_seen(df: DataFrame, columns: list[str], order: list[str], limit: int) -> DataFrame:
-    """Distinct rows of ``columns`` in the order in which the access path first meets them."""
-    first = F.min(F.struct(*order)).alias("_first")
-    return df.groupBy(*columns).agg(first).orderBy("_first").limit(limit).select(*columns)
+def distinct_first_seen(df: DataFrame, columns: list[str], order: list[str], limit: int, offset: int = 0, descending: bool = False) -> DataFrame:
+    """Distinct rows of ``columns`` in the order in which the access path, in either direction, first meets them."""
+    first = (F.max if descending else F.min)(F.struct(*order)).alias("_first")
+    rows = df.groupBy(*columns).agg(first).orderBy(F.desc("_first") if descending else F.asc("_first"))
+    return (rows.offset(offset) if offset else rows).limit(limit).select(*columns)
+
+
+def cursor_page(df: DataFrame, keys: list[str], after: list | None, limit: int, descending: bool = False) -> tuple[DataFrame, list | None]:
+    """A page, and the cursor to go on from: the last row's keys, or none if nothing is behind it. One row more than the page is looked at."""
+    rows = page(df, keys, after, limit + 1, descending)
+    last = rows.select(*keys).collect()[limit - 1 :]
+    return rows.limit(limit), list(last[0]) if len(last) > 1 else None
 
 
 def grouped(df: DataFrame, keys: list[str], aggregates: list[Column], limit: int, having: Column | None = None, order: list[Column] | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[tuple[str, SparkSession]] = set()
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The table ``name`` of ``directory``; columns and filters reach the scan."""
@@ -29,9 +33,33 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder for an intermediate table, under one folder per application, which goes when the program ends.
+
+    A program that is killed leaves it behind, under its application's id.
+    """
+    root = f"{shared_folder(spark)}/loomline-{spark.sparkContext.applicationId}"
+    if not any(path == root for path, _ in _made):
+        _made.add((root, spark))
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomline-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(path: str, spark: SparkSession) -> None:
+    """Delete a folder on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in _made:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            discard(path, spark)

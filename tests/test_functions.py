@@ -81,7 +81,7 @@ def test_postings_are_those_of_the_analyzer():
 
 @pytest.mark.parametrize("text,kinds", [
     ("mail a@b.io, 4111 1111 1111 1111", ["card", "email"]), ("4111 1111 1111 1112", []), ("DNI: 1", ["label"]), ("born, date of birth unknown", ["label"]), ("see /home/ann", ["home"]), ("a@b.c", []), ("123-45-6789.", ["ssn"]),
-    ("ip 10.0.0.255 here", ["ipv4"]), ("10.0.0.256", []), ("10.01.0.2", []), ("(aa:bb:cc:dd:ee:0f)", ["mac"]), ("123e4567-e89b-12d3-a456-426614174000", ["phone", "uuid"]), ("+4930123456", []), ("+493012345678", ["phone"]), ("0000 0000 0000 0000", []), (None, []), ("", []),
+    ("ip 10.0.0.255 here", ["ipv4"]), ("10.0.0.256", []), ("10.01.0.2", []), ("(aa:bb:cc:dd:ee:0f)", ["mac"]), ("123e4567-e89b-12d3-a456-426614174000", ["phone", "uuid"]), ("+493012345", []), ("+493012345678", ["phone"]), ("0000 0000 0000 0000", []), (None, []), ("", []),
 ])
 def test_pii(text, kinds):
     assert X.pii_kinds(text) == kinds

@@ -60,6 +60,22 @@ def test_similar_edges(spark):
     assert rows(similar.nearest(items.limit(0))) == []
 
 
+@pytest.mark.parametrize("limits", [{"CENTRES": 8, "SHARD": 40, "FAN": 8, "CELL_ROWS": 300, "MOST": 60}, {"SHARD": 500, "MOST": 100}, {"MOST": 50}])
+def test_similar_in_levels_parts_and_blocks(spark, monkeypatch, limits):
+    """Two levels of centres, divided shards and blocks of searchers find what brute force finds."""
+    for name, value in limits.items():
+        monkeypatch.setattr(similar, name, value)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(500, 64)), 4, axis=0) + 0.15 * rng.normal(size=(2000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "item bigint, vec binary").repartition(5)
+    found: dict[int, set[int]] = {}
+    for a, b, _ in rows(similar.nearest(df)):
+        found.setdefault(a, set()).add(b)
+    assert all(len(n) == 5 for n in found.values()) and len(found) == len(x)
+    assert np.mean([len(found[i] & set(r)) / 3 for i, r in enumerate(brute(x, 3).tolist())]) >= 0.9
+
+
 # 2
 def test_sketch():
     rng = np.random.default_rng(3)

@@ -29,6 +29,7 @@ from ..sources.tables import materialize
 from . import vamana
 
 SAMPLE, SHARD, CENTRES, MOST = 16_384, 2_000, 1_024, 20_000
+TASK_ROWS = 50_000  # visits of one task
 FAN, CELL_SAMPLE, CELL_ROWS = 512, 8_192, 500_000  # centres of a cell, vectors they are fitted on, and rows of a cell in one task
 DEGREE, BEAM, PROBES = 12, 14, 4
 NEXT_CELL = (4, 2)  # shards searched in the nearest cell, and in the second
@@ -209,7 +210,8 @@ def nearest(vectors: DataFrame, k: int = 5, probes: int = PROBES, degree: int =
         row, col = np.nonzero(near >= 0)
         return pd.DataFrame({"rep": ids[rows[row]], "other": ids[near[row, col]], "similarity": sim[row, col].astype(float)})
 
-    found = visits.groupBy("shard", "part", "block").applyInPandas(shard, "rep bigint, other bigint, similarity double")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * probes // TASK_ROWS))
+    found = visits.repartition(tasks, "shard", "part", "block").groupBy("shard", "part", "block").applyInPandas(shard, "rep bigint, other bigint, similarity double")
     top = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
     links = found.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= k).drop("_r")
     # classes of one member, nearly all, need no more; the others bring their members in

@@ -7,7 +7,7 @@ geometric mean (equal weights unless given).
 Medians (the value at rank ceil(n / 2)) are exact at every size. ``percentile_approx`` at an accuracy of 10,000, combined on the map side, is exact
 for a request of up to 10,000 candidates; for the median of a larger one it gives bounds, and the median is found among the
 values between them, a share of about 4 in 10,000, so that one request may hold a third of all rows.
-Ranks within a request come from windows limited to the first few rows, which Spark prunes before the shuffle.
+The medians are joined back to the candidates, and a request of more than HOT candidates is divided over tasks for that. Ranks within a request come from windows limited to the first few rows, which Spark prunes before the shuffle.
 
 Defined cases: a null or NaN score is no score of its branch and counts as FLOOR in the mean; an infinite score
 is an outlier; a spread of 0 makes every value of the branch the middle one, 0.5; equal combined values are
@@ -18,11 +18,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialize
 
 FLOOR = 1e-3
 ACCURACY = 10_000
+HOT = 200_000  # rows of a group that meet in one task
 # Metrics for which a smaller score is better.
 SMALLER_IS_BETTER = ("squared_l2", "negative_dot")
 
@@ -33,9 +35,26 @@ def present(score: Column) -> Column:
     return F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.least(score, F.lit(top)), F.lit(-top)))
 
 
-def crowding(df: DataFrame, group: str) -> bool:
-    """Whether a group has more rows than are surely exact in one pass."""
-    return bool(df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > ACCURACY).limit(1).count())
+def crowding(df: DataFrame, group: str) -> tuple[bool, dict]:
+    """Whether a group has more rows than are surely exact in one pass, and into how many parts each group of more than HOT rows is divided.
+
+    There are at most rows / HOT such groups; of none of the others anything reaches the driver.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("_n")).filter(F.col("_n") > min(ACCURACY, HOT))
+    if not counts.limit(1).count():
+        return False, {}
+    return True, {r[group]: -(-r["_n"] // HOT) for r in counts.filter(F.col("_n") > HOT).collect()}
+
+
+def attached(df: DataFrame, small: DataFrame, group: str, hot: dict, spread: str) -> DataFrame:
+    """``df`` with the columns of ``small`` (one row per group); hot groups are divided by the hash of ``spread``."""
+    if not hot:
+        return df.join(small, group, "left")
+    parts = df.sparkSession.createDataFrame(list(hot.items()), T.StructType([df.schema[group], T.StructField("_parts", T.LongType())]))
+    # at most one row per HOT rows of df
+    salted = df.join(F.broadcast(parts), group, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    copies = small.join(F.broadcast(parts), group, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(copies, [group, "_salt"], "left").drop("_salt")
 
 
 def medians(df: DataFrame, group: str, values: dict[str, Column], crowded: bool) -> DataFrame:
@@ -67,10 +86,10 @@ def combine(df: DataFrame, group: str, scores: dict[str, float], out: str = "com
 
     Every score must already be 'larger is better'. Two small aggregates per group are joined back.
     """
-    names, crowded = list(scores), crowding(df, group)
-    centred = df.join(medians(df, group, {f"_m{i}": F.col(n) for i, n in enumerate(names)}, crowded), group, "left")
+    names, (crowded, hot) = list(scores), crowding(df, group)
+    centred = attached(df, medians(df, group, {f"_m{i}": F.col(n) for i, n in enumerate(names)}, crowded), group, hot, names[0])
     spread = medians(centred, group, {f"_s{i}": F.abs(F.col(n) - F.col(f"_m{i}")) for i, n in enumerate(names)}, crowded)
-    wide = centred.join(spread, group, "left")
+    wide = attached(centred, spread, group, hot, names[0])
     total, log = sum(scores.values()), F.lit(0.0)
     for i, n in enumerate(names):
         z = (F.col(n) - F.col(f"_m{i}")) / (F.lit(1.4826) * F.col(f"_s{i}"))

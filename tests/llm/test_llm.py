@@ -306,13 +306,23 @@ def test_medians_are_exact_beyond_the_accuracy(spark, monkeypatch):
     data = [(g, rnd.choice([rnd.gauss(0, 9), 1.0, None])) for g, n in (("a", 3000), ("b", 40), ("c", 1), ("d", 701)) for _ in range(n)] + [("e", None)]
     data += [("f", 5.0)] * 400
     df = spark.createDataFrame(data, "g string, x double").repartition(5)
-    assert fusion.crowding(df, "g") and not fusion.crowding(df.filter("g in ('b', 'c')"), "g")
+    assert fusion.crowding(df, "g") == (True, {}) and fusion.crowding(df.filter("g in ('b', 'c')"), "g") == (False, {})
     got = dict(rows(fusion.medians(df, "g", {"m": F.col("x")}, True)))
     for g in "abcdef":
         values = sorted(v for k, v in data if k == g and v is not None)
         assert got[g] == (values[(len(values) + 1) // 2 - 1] if values else None)
 
 
+def test_hot_requests_are_divided(spark, monkeypatch):
+    rnd = random.Random(4)
+    data = [(g, i, rnd.gauss(0, 9), rnd.choice([None, rnd.random()])) for g, n in ((1, 900), (2, 30), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "request_id bigint, object_id bigint, lexical double, vector double")
+    ask = lambda: sorted(rows(fusion.combine(df, "request_id", {"lexical": 1.0, "vector": 2.0})), key=str)
+    want = ask()
+    monkeypatch.setattr(fusion, "HOT", 100)
+    assert fusion.crowding(df, "request_id") == (True, {1: 9}) and ask() == want
+
+
 # 6
 def test_personal_information():
     rnd = random.Random(7)

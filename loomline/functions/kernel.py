@@ -39,10 +39,8 @@ def classes() -> np.ndarray:
 
 @lru_cache(1)
 def word_table() -> np.ndarray:
-    """1 for every code point that is alphabetic or a number, and how many bytes it takes as UTF-8 in the second row."""
-    table = np.zeros((2, sys.maxunicode + 1), np.uint8)
-    points = np.arange(sys.maxunicode + 1)
-    table[1] = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    """In one row, 1 for every code point that is alphabetic or a number."""
+    table = np.zeros((1, sys.maxunicode + 1), np.uint8)
     every = "".join(" " if 0xD800 <= cp < 0xE000 else chr(cp) for cp in range(sys.maxunicode + 1))
     for m in regex.finditer(r"[\p{Alphabetic}\p{N}]+", every):
         table[0, m.start() : m.end()] = 1

@@ -127,9 +127,15 @@ def pipeline(names: list[str]) -> dict[str, bool]:
     return {"fold": "fold" in names, "stop": "stop" in names, "stemmed": "stem" in names}
 
 
-def analyze(text: str | None, fold: bool = False, stop: bool = False, stemmed: bool = False) -> list[tuple[str, int]]:
-    """Tokens through the optional filters, in the order fold, stop, stem; positions stay those of the text."""
-    out = tokens(text)
+_FLAT_WORD = re.compile(r"[a-z0-9']+")
+
+
+def analyze(text: str | None, fold: bool = False, stop: bool = False, stemmed: bool = False, flat: bool = False) -> list[tuple[str, int]]:
+    """Tokens through the optional filters, in the order fold, stop, stem; positions stay those of the text.
+
+    ``flat`` has another rule for tokens: runs of ASCII letters, digits and apostrophes of the lower-cased text.
+    """
+    out = [(w, i) for i, w in enumerate(_FLAT_WORD.findall((text or "").lower()))] if flat else tokens(text)
     if fold:
         out = [(fold_ascii(t), p) for t, p in out]
     if stop:
@@ -403,17 +409,17 @@ def analyzer(fold: bool = False, stop: bool = False, stemmed: bool = False):
     return run
 
 
-def postings_of(texts: pa.Array, fold: bool = False, stop: bool = False, stemmed: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+def postings_of(texts: pa.Array, fold: bool = False, stop: bool = False, stemmed: bool = False, flat: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
     """Postings of an array of texts: row of each, the number of tokens of every text, and term and positions of each posting.
 
     The texts are looked at as one array of code points; only distinct words become strings.
     """
-    normal = [unicodedata.normalize("NFKC", t).casefold() if not t.isascii() else t.casefold() for t in texts.fill_null("").to_pylist()]
+    raw = texts.fill_null("").to_pylist()
+    normal = [t.lower() for t in raw] if flat else [unicodedata.normalize("NFKC", t).casefold() if not t.isascii() else t.casefold() for t in raw]
     whole = "".join(normal)
     cps = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.append(0, np.cumsum([len(t) for t in normal])).astype(np.int64)
-    table = K.word_table()
-    kinds = table[0][cps]
+    kinds = K.word_table()[0][cps] if not flat else (((cps >= 97) & (cps <= 122)) | ((cps >= 48) & (cps <= 57)) | (cps == 39)).astype(np.uint8)
     starts = K.runs(kinds, offsets)
     lengths = np.diff(np.append(starts, len(cps)))
     word = kinds[starts] == 1 if len(starts) else np.empty(0, bool)
@@ -426,7 +432,7 @@ def postings_of(texts: pa.Array, fold: bool = False, stop: bool = False, stemmed
     number = np.empty(len(ids), np.int64)
     for i, (a, n) in enumerate(zip(starts[at].tolist(), lengths[at].tolist())):
         term = whole[a : a + n]
-        if n > MAX_TOKEN_BYTES // 4 and len(term.encode()) > MAX_TOKEN_BYTES:
+        if not flat and n > MAX_TOKEN_BYTES // 4 and len(term.encode()) > MAX_TOKEN_BYTES:
             number[i] = -1  # left out, its position stays empty
             continue
         if fold:

@@ -499,10 +499,10 @@ def vec_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return S.adaptive_topk(_partitions(spark, d), PROBE, 10, 1_000_000, 3, allow).withColumn("distance", F.round("distance", 9))
 
 
-@query()
+@query(f"WITH c AS (SELECT embedding::DOUBLE[] AS c, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings QUALIFY p < 12), a AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS e, arg_min(p, list_distance(embedding::DOUBLE[], c)) AS p FROM embeddings, c GROUP BY 1), n AS (SELECT p FROM c ORDER BY list_distance(c, {_PROBE_SQL}), p LIMIT 4) SELECT vec_id AS doc, ROUND(pow(list_distance(e, {_PROBE_SQL}), 2), 9) AS distance FROM a WHERE p IN (SELECT p FROM n) ORDER BY 2, 1 LIMIT 10")
 def vec_ann(spark: SparkSession, d: str) -> DataFrame:
     """The approximate search over the nearest partitions; its recall is measured in the tests."""
-    return S.ann_topk(_partitions(spark, d), PROBE, 10, 4)
+    return S.ann_topk(_partitions(spark, d), PROBE, 10, 4).withColumn("distance", F.round("distance", 9))
 
 
 # lexical search. The oracle tokenises with a plain pattern, so what it scores are ASCII texts: the distinct recall requests.
@@ -632,10 +632,12 @@ def bm25f_topk(spark: SparkSession, d: str) -> DataFrame:
     return got.orderBy(F.desc("score_nanos"), "doc").limit(10)
 
 
-@query()
+@query(_BM25F.replace("SELECT doc, CAST(SUM(CAST(round(", "SELECT 'match' AS outcome, doc, string_agg(term || ':' || df || ':' || CAST(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2) * 1e9) AS BIGINT), ',' ORDER BY term) AS terms, CAST(SUM(CAST(round(").replace("GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "GROUP BY 2 ORDER BY 4 DESC, 2 LIMIT 10"))
 def bm25f_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """The best documents with the score of each term, or why there is none."""
-    return L.bm25f_retrieve(_titled(spark, d), {"title": 2_000_000, "text": 1_000_000}, "court of Bellhaven tribunal", 10)
+    got = L.bm25f_retrieve(_titled(spark, d), {"title": 2_000_000, "text": 1_000_000}, "court of Bellhaven tribunal", 10)
+    each = F.transform("terms", lambda t: F.concat_ws(":", t["term"], t["df"].cast("string"), t["score_nanos"].cast("string")))
+    return got.select("outcome", "doc", F.array_join(each, ",").alias("terms"), "score_nanos")
 
 
 @query()
@@ -658,6 +660,27 @@ def search_statistics(spark: SparkSession, d: str) -> DataFrame:
     return S.statistics(every, "recall_id", eligible, matched)
 
 
+def _flat(spark: SparkSession, d: str) -> L.Index:
+    """Requests in chunks of four words, by the flat rule for tokens; a chunk is known by its request and place."""
+    docs = table(spark, d, "memory_recalls").filter("query is not null").select("recall_id", "query").dropDuplicates(["recall_id"])
+    words = F.filter(F.split(F.trim("query"), "\\s+"), lambda w: w != "")
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(words) / 4).cast("int") - 1))
+    chunks = docs.select("recall_id", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice(words, i * 4 + 1, 4), " "))).alias("i", "chunk"))
+    return stored(spark, d, "chunks", lambda: L.index(chunks.filter("chunk <> ''").select(F.concat_ws("/", F.col("recall_id").cast("string"), F.col("i").cast("string")).alias("id"), "chunk"), "id", "chunk", flat=True))
+
+
+@query(r"""WITH q AS (SELECT DISTINCT recall_id, list_filter(regexp_split_to_array(trim(query), '\s+'), lambda w: w <> '') AS w FROM memory_recalls WHERE query IS NOT NULL),
+docs AS (SELECT recall_id AS parent, i, regexp_extract_all(lower(array_to_string(w[i * 4 + 1:i * 4 + 4], ' ')), '[a-z0-9'']+') AS t FROM (SELECT recall_id, w, unnest(range(0, CAST(ceil(len(w) / 4.0) AS BIGINT))) AS i FROM q)),
+s AS (SELECT COUNT(*) AS n, AVG(len(t)) AS a FROM docs), words AS (SELECT parent, i, len(t) AS l, unnest(t) AS term FROM docs), tf AS (SELECT parent, i, term, any_value(l) AS l, COUNT(*) AS f FROM words WHERE term IN ('graph', 'vector') GROUP BY 1, 2, 3), df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1),
+c AS (SELECT parent, i, SUM(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 1.8 / (f + 0.8 * (0.6 + 0.4 * l / a)) * CASE term WHEN 'graph' THEN 2 ELSE 1 END ORDER BY term) AS score FROM tf JOIN df USING (term), s GROUP BY 1, 2)
+SELECT parent, ROUND(MAX(score), 9) AS score FROM c GROUP BY 1""")
+def chunk_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Requests ranked by their best chunk; a term given twice counts twice."""
+    hits = L.bm25(_flat(spark, d), "graph vector graph", k1=0.8, b=0.4, distinct=False)
+    best = L.best_chunk(hits, hits.select("doc", F.substring_index("doc", "/", 1).cast("bigint").alias("parent")))
+    return best.select("parent", F.round("score", 9).alias("score"))
+
+
 # fusion and what follows it
 def _lexical_rank(spark: SparkSession, d: str) -> DataFrame:
     return S.with_rank(table(spark, d, "events").filter("event_type <> 'view'").select(F.col("event_id").alias("doc"), F.col("value").alias("score"), "user_id"), [F.desc("score"), F.col("doc")], 200)
@@ -858,7 +881,11 @@ def pii_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memory_store").select("memory_id", X.spread(X.pii_kinds, T.ArrayType(T.StringType()))("text").alias("kinds"))
 
 
-@query()
+_SECRET = "(" + " OR ".join(f"contains(lower(text), '{m}')" for m in X.SECRET_MARKS) + r""" OR len(list_filter(list_transform(regexp_split_to_array(text, '[\s"'']'), lambda w: regexp_replace(w, '^[^A-Za-z0-9_\-]+|[^A-Za-z0-9_\-]+$', '', 'g')),
+lambda b: octet_length(encode(b)) BETWEEN 32 AND 512 AND regexp_matches(b, '[a-z]')::INT + regexp_matches(b, '[A-Z]')::INT + regexp_matches(b, '[0-9]')::INT + regexp_matches(b, '[_-]')::INT >= 3)) > 0)"""
+
+
+@query(f"SELECT memory_id, COALESCE({_SECRET}, false) AS secret FROM memory_store")
 def secret_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memory_store").select("memory_id", X.spread(X.has_secret, T.BooleanType())("text").alias("secret"))
 

@@ -450,7 +450,47 @@ def test_ingest(spark, tmp_path):
 def test_export_reader(spark, tmp_path):
     p = tmp_path / "e.json"
     p.write_text('{"id": "1", "properties": {"body": "x"}, "vectors": {"default": [1.0, 2.0]}}\n{"properties": {}}\n{"id": "2"}\n')
-    assert sorted((r[0], r[1], r[3]) for r in exports.object_export(spark, str(p), "body").collect()) == [("1", "x", [1.0, 2.0]), ("2", None, None)]
+    assert sorted((r[0], r[1], r[3]) for r in exports.object_export(spark, str(p), "body").collect()) == [("1", "x", [1.0, 2.0])]
+    page = tmp_path / "page.json"
+    page.write_text('{"objects": [{"id": "00000000-0000-0000-0000-000000000000", "properties": {"body": "z"}},\n {"id": "a-1", "properties": {"body": "y", "more": 3}, "vector": [0.5]}, {"id": "a-1", "properties": {"body": "y"}, "vector": [0.5]}]}')
+    assert [(r[0], r[1], r[3]) for r in exports.object_export(spark, str(page), "body", pages=True).collect()] == [("a-1", "y", [0.5])]
+
+
+def test_batches_and_stream(spark, monkeypatch):
+    empty = ingest.digest(spark.createDataFrame([], "id int, t string"), "id", ["t"])
+    batch = lambda name, *rows: ingest.Batch(name, spark.createDataFrame(list(rows), "id int, t string"), "id", ["t"])
+    c = ingest.Collection(empty, "id")
+    s = ingest.Stream(c, 10_000, 2, 3)
+    assert s.enqueue(batch("a", (1, "x"), (2, None))) == "enqueued" and s.enqueue(batch("a", (2, None), (1, "x"))) == "idempotent"
+    with pytest.raises(ingest.Conflict):
+        s.enqueue(batch("a", (1, "y")))
+    assert c.status("a") == "unknown" and s.flush_next() == ("applied", 2) and c.status("a") == "committed" and s.flush_next() is None
+    assert c.ingest(batch("a", (1, "x"), (2, None))) == ("replayed", 2) and c.documents.count() == 2
+    for b in (batch("a", (9, "x")), batch("b", (1, "other"))):
+        with pytest.raises(ingest.Conflict):
+            c.ingest(b)
+    assert s.enqueue(batch("c", (1, "clash"))) == "enqueued"
+    with pytest.raises(ingest.Conflict):
+        s.flush_next()
+    assert len(s.queue) == 1 and c.documents.count() == 2  # a batch that fails stays
+    s.enqueue(batch("d", (3, "z")))
+    with pytest.raises(OverflowError):
+        s.enqueue(batch("e", (4, "z")))
+    with pytest.raises(ValueError):
+        batch("f").measure
+    monkeypatch.setattr(ingest, "MOST_DOCUMENTS", 1)
+    with pytest.raises(ValueError):
+        batch("g", (1, "x"), (2, "y")).measure
+    c.replace(spark.createDataFrame([(2, "new")], "id int, t string"))
+    assert c.delete(spark.createDataFrame([(1,), (1,), (77,)], "id int")) == 1
+    assert [(r["id"], r["t"], r["digest"]) for r in c.documents.collect()] == [(2, "new", None)]
+
+
+def test_flat_tokens(spark):
+    docs = spark.createDataFrame([(1, "Don't STOP é o'clock"), (2, "")], "id int, text string")
+    ix = L.index(docs, "id", "text", flat=True)
+    assert {(r["term"], tuple(r["positions"])) for r in ix.postings.filter("term <> ''").collect()} == {("don't", (0,)), ("stop", (1,)), ("o'clock", (2,))}
+    assert [r["doc"] for r in L.bm25(ix, "DON'T").collect()] == [1]
 
 
 FOUND = "The judge, a dog and the farmer selling two boxes: an appellate tribunal, its letter, the burden of substantiation."

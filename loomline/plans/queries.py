@@ -222,6 +222,21 @@ def doc_group_missing_vs_null(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy(D.path_state("doc", "$.k").alias("state")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT CAST(json_extract(props, '$.k') AS VARCHAR) AS g0, COUNT(*) AS n, CAST(SUM(CAST(json_extract(props, '$.k') AS BIGINT)) AS DECIMAL(38,0)) AS total FROM events GROUP BY 1")
+def doc_group_metrics(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "events").select(F.parse_json("props").alias("doc"))
+    return D.group_documents(docs, "doc", ["$.k"], {"total": "$.k"})
+
+
+@query("SELECT event_id, k FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k >= 20 AND k <> 31 AND (k < 60 OR (k = 60 AND event_id > 100)) ORDER BY k DESC, event_id LIMIT 50")
+def doc_query_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page behind a cursor of a filtered and sorted document query."""
+    docs = table(spark, d, "events").select("event_id", F.parse_json("props").alias("doc"))
+    node = {"op": "and", "of": [{"op": "ge", "path": "$.k", "value": 20}, {"op": "ne", "path": "$.k", "value": 31}]}
+    page = D.query_documents(docs, "event_id", "doc", node, [("$.k", True, False)], [(3, 60.0, None), 100], 50)
+    return page.select("event_id", D.at_path("doc", "$.k", "bigint").alias("k"))
+
+
 @query("SELECT event_id, value FROM events WHERE value > 100 OR (value = 100 AND event_id > 5) ORDER BY value, event_id LIMIT 50")
 def doc_cursor_page(spark: SparkSession, d: str) -> DataFrame:
     return R.page(table(spark, d, "events").select("event_id", "value"), ["value", "event_id"], [100.0, 5], 50)
@@ -374,6 +389,26 @@ def ks_zset_incr(spark: SparkSession, d: str) -> DataFrame:
     return K.replay(log).filter("seq >= 0").select("seq", "result")
 
 
+@query(f"SELECT key, r - 1 AS place, CAST(seq AS VARCHAR) || '=' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.0' AS result FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY floor(value), CAST(seq AS VARCHAR)) AS r FROM ({_LOG})) WHERE r <= 3")
+def ks_zpop(spark: SparkSession, d: str) -> DataFrame:
+    """Three pops of the least member after all have been added; ties go by the bytes of the member."""
+    log = _log(spark, d, "zset", F.lit("zadd"), F.col("event_id").cast("string"), F.floor("value").cast("string"))
+    pops = log.filter("op = 'create'").select("key", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"), "at")
+    pops = pops.select("key", (F.lit(1 << 50) + F.col("i")).alias("seq"), F.lit("zpopmin").alias("op"), F.lit(None).cast("string").alias("arg"), F.lit(None).cast("string").alias("value"), "at")
+    return K.replay(log.unionByName(pops)).filter(F.col("seq") >= 1 << 50).filter("result is not null").select("key", (F.col("seq") - (1 << 50)).alias("place"), "result")
+
+
+@query(f"SELECT seq, CASE WHEN i % 3 = 0 THEN 'missing' ELSE CAST(10 - i % 3 AS VARCHAR) END AS result FROM ({_LOG})")
+def ks_expire(spark: SparkSession, d: str) -> DataFrame:
+    """Each third event finds the key gone: every event sets it anew, it expires ten ticks later, and is asked for its time left."""
+    e = K.xadd(table(spark, d, "events"), "user_id", "event_id")
+    steps = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("n")) for n, op in enumerate(("set", "expire", "ttl"))])
+    at = F.when((F.col("s.op") == "ttl") & (F.col("id") % 3 == 0), 10).when(F.col("s.op") == "ttl", F.col("id") % 3).otherwise(0).cast("bigint")
+    log = e.select(F.col("user_id").cast("string").alias("key"), "event_id", "id", F.explode(steps).alias("s"))
+    log = log.select("key", (F.col("event_id") * 4 + F.col("s.n")).cast("bigint").alias("seq"), F.col("s.op").alias("op"), F.lit(None).cast("string").alias("arg"), F.lit("10").alias("value"), at.alias("at"))
+    return K.replay(log).filter("seq % 4 = 2").select(F.expr("seq div 4").alias("seq"), "result")
+
+
 @query(f"SELECT seq, CAST(SUM(octet_length(encode('é' || event_type))) OVER (PARTITION BY key ORDER BY seq) AS VARCHAR) AS result FROM ({_LOG})")
 def ks_append(spark: SparkSession, d: str) -> DataFrame:
     """Appends answer the length in bytes."""

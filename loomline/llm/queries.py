@@ -39,6 +39,13 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "product_documents"), table(spark, d, "embedding_profiles"))
 
 
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document that is split: its tokens, those of all pieces but the repeated ones, and whether no piece exceeds the limit of its profile."""
+    limits = splitting.oversized(table(spark, d, "product_documents"), table(spark, d, "embedding_profiles")).select("object_id", "max_input_tokens_per_input")
+    within = F.min(F.col("n_tokens") <= F.col("max_input_tokens_per_input")).alias("within")
+    return p3_pieces(spark, d).join(limits, "object_id").groupBy("object_id").agg(F.sum(F.col("n_tokens") - F.col("n_overlap")).alias("n_tokens"), within)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     text = near_dup.text_pairs(table(spark, d, "memory_store"), "memory_id", "text").select(F.lit("text").alias("field"), "key_a", "key_b")
     project = near_dup.spelling_pairs(table(spark, d, "memory_recalls"), "project").select(F.lit("project").alias("field"), "key_a", "key_b")
@@ -90,6 +97,16 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionAll, packed).select("window_id", "container", "doc_id", "piece", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Of every window: the documents laid into it, how many of them stand in it whole or in pieces without a gap, and whether no container is overfull."""
+    packed = materialize(p8_pack(spark, d))
+    limits = table(spark, d, "context_windows").select("window_id", "capacity_tokens")
+    over = packed.filter("container is not null").groupBy("window_id", "container").agg(F.sum("n_tokens").alias("n")).join(limits, "window_id").groupBy("window_id").agg(F.max(F.col("n") > F.col("capacity_tokens")).alias("over"))
+    each = packed.groupBy("window_id", "doc_id").agg(F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("n"))
+    whole = each.groupBy("window_id").agg(F.count("*").alias("documents"), F.sum((F.col("end") == F.col("n")).cast("bigint")).alias("complete"))
+    return whole.join(over, "window_id").select("window_id", "documents", "complete", (~F.col("over")).alias("within"))
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     texts, votes = reading.labelled(documents, table(spark, d, "reading_labels"))
@@ -101,7 +118,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_percentiles, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_redacted, p7_ids, p8_pack, p9_found, p9_levels)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_percentiles, p3_found, p3_pieces, p3_totals, p4_found, p4_groups, p5_found, p5_ranking, p6_found, p6_redacted, p7_ids, p8_pack, p8_fill, p9_found, p9_levels)}
 
 
 _SQUASHED = "0.5 * ln(CASE WHEN {c} IS NULL THEN 0.001 ELSE greatest(0.001, 1 / (1 + exp(least(700, -(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / (1.4826 * s_{c}) ELSE 0 END))))) END)"
@@ -119,6 +136,9 @@ q AS (SELECT surface, build, quantile_disc(v, 0.5) AS a, quantile_disc(v, 0.99)
 SELECT surface, build, 50 AS pct FROM q JOIN warm_targets USING (surface) WHERE a > p50 UNION ALL SELECT surface, build, 99 FROM q JOIN warm_targets USING (surface) WHERE b > p99""",
     "p3_found": r"""WITH now AS (SELECT DISTINCT ON (object_id) object_id, profile_id, text FROM product_documents ORDER BY object_id, version DESC)
 SELECT object_id FROM now JOIN embedding_profiles USING (profile_id) WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > max_input_tokens_per_input""",
+    "p3_totals": r"""WITH now AS (SELECT DISTINCT ON (object_id) object_id, profile_id, text FROM product_documents ORDER BY object_id, version DESC), t AS (SELECT object_id, len(regexp_extract_all(text, '[^ \t\r\n]+')) AS n, max_input_tokens_per_input AS most FROM now JOIN embedding_profiles USING (profile_id))
+SELECT object_id, n AS n_tokens, true AS within FROM t WHERE n > most""",
+    "p8_fill": "SELECT window_id, (SELECT COUNT(*) FROM documents) AS documents, (SELECT COUNT(*) FROM documents) AS complete, true AS within FROM context_windows",
     "p5_found": _SCORES + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, object_id) AS b, rank() OVER (PARTITION BY request_id ORDER BY lexical DESC NULLS LAST) AS x, rank() OVER (PARTITION BY request_id ORDER BY vector DESC NULLS LAST) AS y FROM k)
 SELECT request_id, object_id FROM r WHERE b = 1 AND x <= 3 AND y <= 3 AND lexical IS NOT NULL AND vector IS NOT NULL""",

@@ -208,6 +208,13 @@ def scoped(memories: DataFrame, project: str, now: int, kind: str | None = None,
     return got.withColumn("_p", plain).filter(F.col("_p").isin(unicodedata.normalize("NFKC", project), "_global")).drop("_p")
 
 
+def branches_of(mode: str, vector: bool) -> tuple[bool, bool]:
+    """Whether a recall has a lexical and a vector branch; without a vector every mode is lexical."""
+    if mode not in ("lexical", "hybrid", "semantic"):
+        raise ValueError(f"no mode {mode}")
+    return mode != "semantic" or not vector, mode != "lexical" and vector
+
+
 def content_id(columns: list[str]) -> Column:
     """The same content has the same id."""
     return F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(c), F.lit("")) for c in columns]), 256)

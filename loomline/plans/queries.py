@@ -836,9 +836,10 @@ def fuse_explained(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc", "score", F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["branch"].cast("string"), x["rank"].cast("string"))), ",").alias("parts"))
 
 
-@query("SELECT memory_id FROM memory_store WHERE project IN ('temric-wohrul-penjan', '_global') AND (expires_at_micros IS NULL OR expires_at_micros > 1750000000000000) AND kind = 'decision'")
+@query("SELECT memory_id FROM memory_store WHERE project IN ('fufjep_gisgom_nabzub', 'ｆｕｆｊｅｐ_ｇｉｓｇｏｍ_ｎａｂｚｕｂ', '_global') AND (expires_at_micros IS NULL OR expires_at_micros > 1750000000000000)")
 def memory_scope(spark: SparkSession, d: str) -> DataFrame:
-    return S.scoped(table(spark, d, "memory_store"), "temric-wohrul-penjan", 1_750_000_000_000_000, kind="decision").select("memory_id")
+    """The project is stored in wide letters only."""
+    return S.scoped(table(spark, d, "memory_store"), "fufjep_gisgom_nabzub", 1_750_000_000_000_000).select("memory_id")
 
 
 _RECALL_TERMS = ("vector", "graph", "drops", "orphaned", "blobs")

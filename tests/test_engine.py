@@ -330,6 +330,7 @@ def test_scoped_project_in_any_spelling(spark):
     cases = [("ｐ１", None, True), ("p1", 5, False), ("p1", 7, True), ("_global", None, True), ("p2", None, False), (None, None, False)]
     df = spark.createDataFrame([(i, p, x) for i, (p, x, _) in enumerate(cases)], "id int, project string, expires_at_micros bigint")
     assert {r["id"] for r in S.scoped(df, "p1", 6).collect()} == {i for i, c in enumerate(cases) if c[2]}
+    assert [S.branches_of(m, v) for m in ("lexical", "hybrid", "semantic") for v in (True, False)] == [(True, False), (True, False), (True, True), (True, False), (False, True), (True, False)]
 
 
 def test_fusion_keeps_rank_gaps(spark):

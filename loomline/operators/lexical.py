@@ -1,8 +1,9 @@
 """Full-text search: stored postings, BM25 and BM25F, expansion, phrases and compound queries.
 
-An index is written once: ``postings`` (doc, field, term, tf, positions, len), in files sorted by term, so that a query's filter on
-terms reads only the row groups that hold them, and ``terms`` (term, df). Each text is analysed once, for the index;
-queries never see it again. A row of the empty term stands for every document and field, and holds its length.
+An index is written once: blocks of postings (field, term, and the documents, frequencies, lengths and positions of as many texts as were
+analysed together), in files sorted by term, so that a query's filter on terms reads only the row groups that hold them, and
+``terms`` (term, df). Each text is analysed once, for the index; queries never see it again. Blocks of the empty term hold every
+document and field, and its length.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from ..sources.tables import folder
 EXPANDED = 64
 
 
-def postings(docs: DataFrame, key: str, fields: list[str], **filters: bool) -> DataFrame:
-    """``doc, field, term, tf, positions, len``: one row per document, field and term, and one of the empty term. No shuffle."""
+def blocks(docs: DataFrame, key: str, fields: list[str], **filters: bool) -> DataFrame:
+    """``field, term, docs, tfs, lens, positions``: the documents of a term, as many as stand in one slice of the texts. No shuffle.
+
+    A block of the empty term holds every document of the slice.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,15 +38,21 @@ def postings(docs: DataFrame, key: str, fields: list[str], **filters: bool) -> D
                 for a, b in K.slices(batch.column(1 + number)):
                     keys, texts = batch.column(0).slice(a, b - a), batch.column(1 + number).slice(a, b - a)
                     row, sizes, words, lists = X.postings_of(texts, **filters)
-                    every = np.arange(len(texts))
-                    owner = np.concatenate([every, row])
-                    term = pa.concat_arrays([pa.array([""] * len(texts), pa.string()), words])
-                    at = np.append(np.zeros(len(texts), np.int32), lists.offsets.to_numpy())
-                    positions = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), lists.values)
-                    columns = [keys.take(pa.array(owner)), pa.array(np.full(len(owner), number, np.int32)), term, pa.array(np.diff(at).astype(np.int32)), positions, pa.array(sizes[owner].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc", "field", "term", "tf", "positions", "len"])
-
-    return docs.select(key, *fields).mapInArrow(run, f"doc {kind}, field int, term string, tf int, positions array<int>, len int")
+                    coded = words.dictionary_encode()
+                    code = coded.indices.to_numpy(zero_copy_only=False)
+                    order = np.argsort(code, kind="stable")
+                    # the empty term first, with all documents
+                    owner = np.concatenate([np.arange(len(texts)), row[order]])
+                    starts = np.append(0, len(texts) + np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))) if len(code) else np.zeros(1, np.int64)
+                    cuts = pa.array(np.append(starts, len(owner)).astype(np.int32))
+                    held = lists.take(pa.array(order))
+                    at = np.append(np.zeros(len(texts), np.int32), held.offsets.to_numpy() - held.offsets[0].as_py())
+                    positions = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), held.flatten())
+                    columns = [keys.take(pa.array(owner)), pa.array(np.diff(at).astype(np.int32)), pa.array(sizes[owner].astype(np.int32)), positions]
+                    term = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary.take(pa.array(code[order][starts[1:] - len(texts)]))])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), number, np.int32)), term, *[pa.ListArray.from_arrays(cuts, c) for c in columns]], ["field", "term", "docs", "tfs", "lens", "positions"])
+
+    return docs.select(key, *fields).mapInArrow(run, f"field int, term string, docs array<{kind}>, tfs array<int>, lens array<int>, positions array<array<int>>")
 
 
 @dataclass
@@ -56,9 +66,19 @@ class Index:
     known: dict = field(default_factory=dict)
 
     @property
-    def postings(self) -> DataFrame:
+    def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
+    def rows(self, wanted: Column, positions: bool = False) -> DataFrame:
+        """``doc, field, term, tf, len`` (and ``positions``) of the blocks whose field or term is wanted; positions are read only if asked for."""
+        names = {"docs": "doc", "tfs": "tf", "lens": "len"} | ({"positions": "positions"} if positions else {})
+        each = self.blocks.filter(wanted).select("field", "term", F.explode(F.arrays_zip(*names)).alias("p"))
+        return each.select("field", "term", *[F.col(f"p.{c}").alias(n) for c, n in names.items()])
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows(F.lit(True), positions=True)
+
     @property
     def terms(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/terms")
@@ -66,7 +86,7 @@ class Index:
     @property
     def documents(self) -> DataFrame:
         """``doc, field, len`` of every document."""
-        return self.postings.filter("term = ''").select("doc", "field", "len")
+        return self.rows(F.col("term") == "").select("doc", "field", "len")
 
     def counts(self) -> tuple[int, list[float]]:
         """The number of documents, and the mean length of every field: one row per field reaches the driver."""
@@ -79,8 +99,8 @@ class Index:
         """In how many documents each of the terms stands."""
         return {t: 0 for t in terms} | {r["term"]: r["df"] for r in self.terms.filter(F.col("term").isin(terms)).collect()}
 
-    def of(self, terms: list[str]) -> DataFrame:
-        return self.postings.filter(F.col("term").isin(terms))
+    def of(self, terms: list[str], positions: bool = False) -> DataFrame:
+        return self.rows(F.col("term").isin(terms), positions)
 
     def analyze(self, query: str) -> list[str]:
         return [t for t, _ in X.analyze(query, **self.filters)]
@@ -94,12 +114,14 @@ def index(docs: DataFrame, key: str, text: str | list[str], path: str | None = N
     """
     fields = [text] if isinstance(text, str) else list(text)
     spark, path = docs.sparkSession, path or folder(docs.sparkSession)
-    rows = postings(docs, key, fields, **filters).hint("rebalance", "term").sortWithinPartitions("term", "doc")
+    rows = blocks(docs, key, fields, **filters).hint("rebalance", "term").sortWithinPartitions("term", "field")
     rows.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     made = Index(spark, path, fields, filters)
-    found = made.postings.filter("term <> ''")
-    count = F.count("*") if len(fields) == 1 else F.count_distinct("doc")
-    found.groupBy("term").agg(count.alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    if len(fields) == 1:
+        counted = made.blocks.filter("term <> ''").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    else:
+        counted = made.rows(F.col("term") != "").groupBy("term").agg(F.count_distinct("doc").alias("df"))
+    counted.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     return made
 
 
@@ -119,7 +141,7 @@ def bm25(ix: Index, query: str, k1: float = 1.2, b: float = 0.75, minimum: int =
 def _wide(ix: Index, terms: list[str], more: list[Column], field: int = 0) -> DataFrame:
     """One row per document that has any of the terms, with ``tf0, tf1, ...``."""
     each = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return ix.of(terms).filter(F.col("field") == field).groupBy("doc").agg(F.max("len").alias("len"), *each, *more)
+    return ix.rows(F.col("term").isin(terms) & (F.col("field") == field), bool(more)).groupBy("doc").agg(F.max("len").alias("len"), *each, *more)
 
 
 def score_terms(ix: Index, weights: dict[str, int], k1: float = 1.2, b: float = 0.75, minimum: int = 1) -> DataFrame:
@@ -275,7 +297,7 @@ def compound(ix: Index, query: dict) -> DataFrame:
     parts = sorted({t for kind, v, _ in leaves if kind == "phrase" for t in v})
     aggregates = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(parts)]
     aggregates += [F.max(test).alias(f"m{i}") for i, test in enumerate(tests) if test is not None]
-    wide = ix.postings.filter(wanted & (F.col("field") == 0)).groupBy("doc").agg(F.count("*").alias("_rows"), *aggregates)
+    wide = ix.rows(wanted & (F.col("field") == 0), bool(parts)).groupBy("doc").agg(F.count("*").alias("_rows"), *aggregates)
     for i, (kind, v, _) in enumerate(leaves):
         if kind == "phrase":
             wide = wide.withColumn(f"m{i}", _in_order([F.col(f"p{parts.index(t)}") for t in v]))

@@ -114,6 +114,10 @@ def index(docs: DataFrame, key: str, text: str | list[str], path: str | None = N
     """
     fields = [text] if isinstance(text, str) else list(text)
     spark, path = docs.sparkSession, path or folder(docs.sparkSession)
+    tasks = spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < tasks:
+        # few files have few row groups, and the texts of one are analysed in one task
+        docs = docs.select(key, *fields).repartition(tasks)
     rows = blocks(docs, key, fields, **filters).hint("rebalance", "term").sortWithinPartitions("term", "field")
     rows.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     made = Index(spark, path, fields, filters)

@@ -1,10 +1,10 @@
 """Personal information inside free text (problem 6).
 
-Method: a skip-chain conditional random field. A text is cut into windows around everything that might be
-personal (an at sign in any spelling, longer digit groups, house numbers, runs of capitals); the tokens of a window form a
-chain (an address or a number in any spelling is one token), and all occurrences of a capitalised token in a document are joined by
-skip edges. Potentials come from hashed features of the token, its neighbours and its form; the labels of all windows of a
-document are found by loopy message passing: forward-backward over the chains, with messages across the skip edges between rounds.
+Method: a skip-chain conditional random field over all tokens of a text (an address or a number in any spelling is one token);
+all occurrences of a capitalised token in a document are joined by skip edges. A token that can only be nothing parts the chain without
+loss, so the field works on the runs of the other tokens (see ``windows``). Potentials come from hashed features of the token, its
+neighbours and its form; the labels of all windows of a document are found by loopy message passing: forward-backward over the chains,
+with messages across the skip edges between rounds.
 
 No labelled rows exist, so the field is fitted here by distant supervision on the windows of at most ``SAMPLE`` texts (those of the
 smallest hashes; see ``Supervision``): what general knowledge of forms, titles and given names settles is labelled, what it leaves
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SLOTS, MARGIN, ROUNDS = 3_000, 1 << 16, 48, 2
+SAMPLE, SLOTS, BESIDE, ROUNDS = 3_000, 1 << 16, 2, 2
 LABELS = ("O", "email", "phone", "identity_number", "street_address", "person_name", "person_name+")
 O, EMAIL, PHONE, IDENTITY, ADDRESS, NAME, NAME_ON = range(7)
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "street_address": "[ADDRESS]", "person_name": "[NAME]"}
@@ -48,22 +48,19 @@ _ADDRESS = re.compile(
     re.I,
 )
 _TOKEN = re.compile(rf"[{_UP}]\.(?=[ \-])|[^\W_][\w’'\-]*|[^\w\s]")
-# each begins with a set of characters, which the search skips to
-_HINTS = [
-    re.compile(h)
-    for h in (
-        r"@", r"[\[({<]\s?at\s?[\])}>]", rf"\d(?:[\d()./ \-]{{4,}}\d|[A-Za-z]?,? (?:bis,? |ter,? )?(?:[{_UP}]|(?:{_OPENING})\b))",
-        rf"[{_UP}](?<![\w\-][{_UP}])[\w’'\-]{{0,40}}[,.]? (?:[{_UP}]\. )?[{_UP}][{_UP}{_LOW}]",
-    )
-]
-_DOT = re.compile(r"\bat\b[^\n]{1,60}?\bdot\b|\bdot\b", re.I)
-_NUMBERED = re.compile(rf"(?:{_JOINED})\.? \d", re.I)
-_JOINTS = tuple(w for j in _JOINED.split("|") for w in (j + " ", j.upper() + " "))
-_BLANK, _DIGIT, _AT = re.compile(r"\s"), re.compile(r"\d"), re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\bat\b", re.I)
-LONGEST = 100
+# what every address or number holds; each begins with a digit, which the search skips to
+_HOUSE = re.compile(rf"\d(?:[A-Za-z]?,? (?:[NSEWnsew]\.? )?[{_UP}]|(?i:(?: ?(?:bis|ter|quater))?,? (?:{_OPENING}) ))")
+_LONG = re.compile(r"\d[\d()./ \-]{4,}\d")
+_NUMBERED = re.compile(r"\d(?<=[\w.] \d)")
+_AT, _AT_WORD, _DOT_WORD = re.compile(r"@|[\[({<]\s?at\s?[\])}>]", re.I), re.compile(r"\sat\s", re.I), re.compile(r"dot", re.I)
+_JOINTS = tuple(j.casefold() for j in _JOINED.split("|"))
+# an address begins at most so far before the last digit of its house number, a number so far before its first
+_BEFORE_HOUSE, _BEFORE_NUMBER = 24, 3
 # Titles, and words that announce an identity number.
 _TITLE = ("dr", "ms", "mr", "mrs", "miss", "prof", "professor", "sir", "dame", "herr", "frau", "mme", "sr", "sra")
 _IDENTITY_WORDS = "identity number|identity card|national id|national identity|national insurance|passport|social security|tax number|tax id|id number|id card|driving licence"
+_SEVERAL = re.compile(r"[\s,]")
+_TITLED = re.compile(rf"\b(?:{'|'.join(_TITLE)})\.?$", re.I)
 _ANNOUNCED = re.compile(rf"(?:{_IDENTITY_WORDS})\W+(?:\w+\W+){{0,2}}$")
 
 
@@ -76,47 +73,90 @@ class Window:
     kinds: list[int]
 
 
+def _matches(pattern: re.Pattern, text: str, hints: re.Pattern, before: int) -> list[tuple[int, int]]:
+    """The matches of a pattern in the whole text; each begins inside a hint or at most ``before`` characters ahead of it."""
+    out, at = [], 0
+    for hint in hints.finditer(text):
+        at = max(at, hint.start() - before)
+        while at < hint.end():
+            m = pattern.match(text, at)
+            if m:
+                out.append(m.span())
+            at = m.end() if m else at + 1
+    return out
+
+
+def _wholes(text: str) -> list[tuple[int, int, int]]:
+    """E-mail addresses, street addresses and numbers of a text, with their kinds."""
+    out = []
+    if _AT.search(text) or (_DOT_WORD.search(text) and _AT_WORD.search(text)):
+        out += [(*m.span(), EMAIL) for m in _EMAIL.finditer(text)]
+    if any(text[max(0, m.start() - 10) : m.start() - 1].removesuffix(".").casefold().endswith(_JOINTS) for m in _NUMBERED.finditer(text)):
+        out += [(*m.span(), ADDRESS) for m in _ADDRESS.finditer(text)]
+    else:
+        out += [(a, b, ADDRESS) for a, b in _matches(_ADDRESS, text, _HOUSE, _BEFORE_HOUSE)]
+    return out + [(a, b, PHONE) for a, b in _matches(_DIGITS, text, _LONG, _BEFORE_NUMBER) if sum(map(str.isdigit, text[a:b])) >= 6]
+
+
+def tokens_of(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """All tokens of a text, and their preset kinds."""
+    spans, kinds, at = [], [], 0
+    for s, e, kind in [*sorted(_wholes(text), key=lambda f: (f[0], -f[1])), (len(text), len(text), O)]:
+        if s < at:
+            continue
+        spans += [m.span() for m in _TOKEN.finditer(text, at, s)]
+        kinds += [O] * (len(spans) - len(kinds))
+        if e > s:
+            spans.append((s, e))
+            kinds.append(kind)
+        at = e
+    return spans, kinds
+
+
 def windows(text: str) -> list[Window]:
-    """The windows of a text, in order and without overlap."""
+    """The windows of a text, in order and without overlap.
+
+    Every token is looked at. A run of tokens that may be something stands between tokens that can only be nothing, and these part
+    the chain: with the tokens beside it, which its features read, a run has the same labels as in the chain over the whole text.
+    A run whose only capitalised word has no title before it and stands in no other run but such is left out: that word is no name
+    by definition, and its skip edges lead nowhere else.
+    """
+    spans, kinds = tokens_of(text)
+    large = [i for i, (a, b) in enumerate(spans) if kinds[i] or (text[a].isupper() and named(text[a:b]))]
+    runs: list[tuple[int, int, bool]] = []  # first large token, last one, and whether it is kept
+    for i in large:
+        if runs and all(text[a:b] == "," for a, b in spans[runs[-1][1] + 1 : i]):
+            runs[-1] = (runs[-1][0], i, True)
+        else:
+            runs.append((i, i, bool(kinds[i]) or titled(text, spans[i][0])))
+    words = {text[a:b].lower() for first, last, kept in runs if kept for (a, b), k in zip(spans[first : last + 1], kinds[first : last + 1]) if k == O}
     areas: list[list[int]] = []
-    hints = [m.span() for h in _HINTS for m in h.finditer(text)]
-    if "dot" in text or "DOT" in text:
-        hints += [m.span() for m in _DOT.finditer(text)]
-    if any(j in text for j in _JOINTS):
-        hints += [m.span() for m in _NUMBERED.finditer(text)]
-    for start, stop in sorted(hints):
-        a, b = max(0, start - MARGIN), min(len(text), stop + MARGIN)
+    for first, last, kept in runs:
+        if not kept and text[slice(*spans[first])].lower() not in words:
+            continue
+        while first and text[slice(*spans[first - 1])] == ",":
+            first -= 1
+        while last + 1 < len(spans) and text[slice(*spans[last + 1])] == ",":
+            last += 1
+        a, b = max(0, first - BESIDE), min(len(spans), last + 1 + BESIDE)
         if areas and a <= areas[-1][1]:
-            areas[-1][1] = max(b, areas[-1][1])
+            areas[-1][1] = b
         else:
             areas.append([a, b])
-    out = []
-    for a, b in areas:
-        # to white space, if a word of usual length ends there
-        before = _BLANK.search(text[max(0, a - LONGEST) : a][::-1])
-        a -= before.start() if before else min(a, LONGEST)
-        after = _BLANK.search(text, b, b + LONGEST)
-        b = after.start() if after else min(len(text), b + LONGEST)
-        part = text[a:b]
-        fixed = [(m.start(), m.end(), EMAIL) for m in _EMAIL.finditer(part)] if _AT.search(part) else []
-        if _DIGIT.search(part):
-            fixed += [(m.start(), m.end(), ADDRESS) for m in _ADDRESS.finditer(part)]
-            fixed += [(m.start(), m.end(), PHONE) for m in _DIGITS.finditer(part) if sum(map(str.isdigit, m.group())) >= 6]
-        spans, kinds, at = [], [], 0
-        for s, e, kind in [*sorted(fixed, key=lambda f: (f[0], -f[1])), (len(part), len(part), O)]:
-            if s < at:
-                continue
-            for m in _TOKEN.finditer(part, at, s):
-                spans.append((a + m.start(), a + m.end()))
-                kinds.append(O)
-            if e > s:
-                spans.append((a + s, a + e))
-                kinds.append(kind)
-            at = e
-        if spans:
-            out.append(Window(text, spans, kinds))
-    return out
+    return [Window(text, spans[a:b], kinds[a:b]) for a, b in areas]
+
+
+def named(token: str) -> bool:
+    """Whether a token may be part of a name: a capitalised word, an initial, or a comma."""
+    return token == "," or (token[0].isupper() and not any(map(str.isdigit, token)))
+
 
+def titled(text: str, at: int) -> bool:
+    """Whether a title stands before a place of a text."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    return end < at and bool(_TITLED.search(text, max(0, end - 12), end))
 
 
 _ALLOWED = np.zeros((len(LABELS), len(LABELS)), bool)
@@ -195,9 +235,7 @@ class Features:
             self.slots.append(_slot(np.array([_number(f) for f in forms], np.uint64)).tolist())
             self.heads.append(_number(forms[0]))
             self.shapes.append(_number(forms[1]) if len(forms) > 1 else 1)
-            # a capitalised word, an initial, or a comma may be part of a name
-            name = kind == O and (token == "," or (token[0].isupper() and not any(map(str.isdigit, token))))
-            self.kinds.append(NAME if name else kind)
+            self.kinds.append(NAME if kind == O and named(token) else kind)
         return got
 
     def of(self, ws: list[Window]) -> Tokens:
@@ -564,8 +602,11 @@ def spans(w: Window, belief: np.ndarray) -> list[tuple[int, int, str]]:
             out.append([a, b, LABELS[label], i])
     kept = []
     for a, b, kind, _ in out:
-        while kind == "person_name" and b > a and w.text[b - 1] in ", ":
+        # a name neither begins nor ends with a comma
+        while kind == "person_name" and b > a and (w.text[b - 1] == "," or w.text[b - 1].isspace()):
             b -= 1
+        while kind == "person_name" and b > a and (w.text[a] == "," or w.text[a].isspace()):
+            a += 1
         if b > a and not (kind == "person_name" and b - a < 3):
             kept.append((a, b, kind))
     return kept
@@ -590,12 +631,11 @@ def find(field: Field, tool: Features, texts: list[str | None]) -> list[list[tup
 
 def _supported(text: str | None, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Without single words as names, but behind a title or where a longer name of the text has them."""
-    single = [f for f in found if f[2] == "person_name" and " " not in text[f[0] : f[1]]]
+    single = [f for f in found if f[2] == "person_name" and not _SEVERAL.search(text[f[0] : f[1]])]
     if not single:
         return found
-    parts = {p for a, b, kind in found if kind == "person_name" and " " in text[a:b] for p in re.split(r"[ ,.]+", text[a:b].lower())}
-    titled = rf"(?i:\b(?:{'|'.join(_TITLE)}))\.? $"
-    drop = {f for f in single if text[f[0] : f[1]].lower() not in parts and not re.search(titled, text[max(0, f[0] - 12) : f[0]])}
+    parts = {p for a, b, kind in found if kind == "person_name" and _SEVERAL.search(text[a:b]) for p in re.split(r"[\s,.]+", text[a:b].lower())}
+    drop = {f for f in single if text[f[0] : f[1]].lower() not in parts and not titled(text, f[0])}
     return [f for f in found if f not in drop]
 
 

@@ -352,6 +352,36 @@ def test_personal_information():
     assert pii.redact("mail a@b.io now", [(5, 11, "email")]) == "mail [EMAIL] now"
 
 
+def test_personal_information_is_sought_at_every_place(monkeypatch):
+    rnd = random.Random(8)
+    given, last = ["Amaya", "Corvin", "Petra", "Tobin"], ["Wexayne", "Tremhurst", "Lindeski", "Ostvander"]
+    filler = "the second copy went missing and the page cache needed more keys than before. "
+
+    def text():
+        name = f"{rnd.choice(given)} {rnd.choice(last)}"
+        parts = [f"This was agreed with {name} during the review. ", f"Send it to a.b@mail.example before noon. {filler}", f"Deliver it to {rnd.randint(1, 300)} Tallow Lane before noon. ", f"Build 4129 keeps the Amber Ledger release. {filler}", f"The backup again moved it, said {name} at noon. "]
+        return "".join(rnd.sample(parts, 4))
+
+    names = frozenset(g.lower() for g in given)
+    field = pii.fit([text() for _ in range(400)], names)
+    ask = lambda texts: [[(k, t[a:b]) for a, b, k in f] for t, f in zip(texts, pii.find(field, pii.Features(names), texts))]
+    far = f"This was agreed with Petra Lindeski during the review. {filler * 3}then it was changed, said Lindeski at noon. {filler * 3}"
+    # a later mention far from anything else, a sign in capitals, a number behind a word, a name over the end of a line
+    odd = [far, "Send it to x_y [AT] mail.example before noon.", "Deliver it to 7bis rue Tallow before noon.", "This was agreed with Petra\nLindeski during the review.", "Then it was changed, said Lindeski at noon."]
+    assert ask(odd) == [[("person_name", "Petra Lindeski"), ("person_name", "Lindeski")], [("email", "x_y [AT] mail.example")], [("street_address", "7bis rue Tallow")], [("person_name", "Petra\nLindeski")], []]
+
+    # the same as in chains over all tokens, and as in searches from every place
+    bits = ["Dr. ", "Petra", "Lindeski", "Lindeski", " ", " ", ", ", "J.", "\n", "12 ", "Flat 3, ", "Foo Street", " and it ", "The", "Li", " said ", "7 quater, rue X", "345-555-0199", "AB 123456", "1.2 345678", "a.b", " AT ", " Dot ", "[at]", "x.org", "Mozartstraße 12", "BahnhofPlatz 3"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40))) for _ in range(600)]
+    for t in texts:
+        found = pii._wholes(t)
+        for kind, pattern, least in ((pii.EMAIL, pii._EMAIL, 0), (pii.ADDRESS, pii._ADDRESS, 0), (pii.PHONE, pii._DIGITS, 6)):
+            assert [f[:2] for f in found if f[2] == kind] == [m.span() for m in pattern.finditer(t) if sum(map(str.isdigit, m.group())) >= least]
+    got = ask(texts)
+    monkeypatch.setattr(pii, "windows", lambda t: [pii.Window(t, *pii.tokens_of(t))] if t.strip() else [])
+    assert got == ask(texts) and any(k == "person_name" for f in got for k, _ in f)
+
+
 # 7
 def test_tokenizer(spark):
     tiktoken = pytest.importorskip("tiktoken")

@@ -138,6 +138,14 @@ def test_budgets(engine):
     assert e.value.code == "SQL018"
 
 
+def test_totals_under_a_budget_are_whole(spark, engine, tmp_path):
+    engine.budget = 2
+    assert rows(engine.execute("SELECT COUNT(*) AS n, SUM(score) AS s FROM m")) == [(4, 14)]
+    assert rows(engine.execute("SELECT class, COUNT(*) AS n FROM m GROUP BY class LIMIT 9")) == [(None, 1), ("x", 2), ("y", 1)]
+    spark.range(1_048_577).toDF("o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(Q.scan_budget(spark, str(tmp_path))) == [(1_048_577,)]
+
+
 def test_cursor(spark):
     df = spark.range(7)
     page, after = R.cursor_page(df, ["id"], None, 3)
